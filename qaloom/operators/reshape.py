@@ -46,7 +46,9 @@ def expand_labels(wide: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``labels`` has ``row_id, k1, k2, q3, a3, ok`` as ``parse_labels`` gives them.
     """
-    chosen = labels.where("ok").select("row_id", "k1", "k2", "q3", "a3")
+    chosen = labels.where("ok").select(
+        "row_id", "k1", "k2", F.col("q3").alias("new_question"), F.col("a3").alias("new_answer")
+    )
     rows = wide.join(chosen, "row_id")
     records = F.array(
         F.struct(
@@ -60,7 +62,9 @@ def expand_labels(wide: DataFrame, labels: DataFrame) -> DataFrame:
             pick_option(F.col("k2")).alias("output"),
         ),
         F.struct(
-            F.lit(3).alias("label_no"), F.col("q3").alias("input"), F.col("a3").alias("output")
+            F.lit(3).alias("label_no"),
+            F.col("new_question").alias("input"),
+            F.col("new_answer").alias("output"),
         ),
     )
     return rows.select("row_id", F.inline(records), "category").select(

@@ -47,12 +47,11 @@ def label_options(
 
 def write_pairs(pairs: DataFrame, keys: list[str], fn: Generate) -> DataFrame:
     """A new question and answer for each pair of pairs; rows that never parse drop out."""
+    by = [*keys, "category"]
     made = generate_with_retry(
-        prompts.build_pair_prompt(pairs, keys), keys, fn, responses.parse_qa_pair, PAIR_ATTEMPTS
-    )
-    return pairs.select(*keys, "category").join(
-        made.select(*keys, "input", "output"), keys
+        prompts.build_pair_prompt(pairs, by), by, fn, responses.parse_qa_pair, PAIR_ATTEMPTS
     )
+    return made.select(*by, "input", "output")
 
 
 def synthesize_pairs(
