@@ -138,13 +138,14 @@ def candidate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "training_set",
     f"""WITH {a.QA_CONV}, texts AS (SELECT *, {TRAINING_TEXT_SQL} AS text FROM qa_conv),
-    {sql_folds('texts')} SELECT * FROM folds""",
+    {sql_folds('texts')}
+    SELECT * EXCLUDE (is_eval), CASE WHEN is_eval THEN 'eval' ELSE 'train' END AS side FROM folds""",
 )
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "training")
     folds = jobs.training_set(a.qa_conv(spark, sf_dir), SEED)
     jobs.write_training_set(folds, path)
-    return spark.read.schema(folds.schema).parquet(path)
+    return spark.read.parquet(path)
 
 
 ROUNDS = 3

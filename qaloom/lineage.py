@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -34,3 +34,14 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     target = path or scratch_path(spark, name)
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+# A side of join rows this short (ids, offsets, paths: some 200 bytes each) may be
+# sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def written_side(df: DataFrame, name: str) -> DataFrame:
+    """A narrow join side, written and counted: broadcast if short enough, else left to Spark."""
+    side = written(df, name)
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side

@@ -21,6 +21,7 @@ def generate_with_retry(
     max_attempts: int,
     on_fail: str = "drop",
     result_type: str = "string",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Respond to each prompt until the response parses, at most ``max_attempts`` times.
 
@@ -28,13 +29,16 @@ def generate_with_retry(
     asked again by a later action; only rows that did not parse go to the next attempt.
     Only keys and prompts take part: join the result back by key. Returns the keys, the
     parser's columns and ``attempt``. Rows that never parse are dropped, or kept with
-    ``ok`` false under ``on_fail="keep"``.
+    ``ok`` false under ``on_fail="keep"``. ``partitions`` spreads the rows of every
+    attempt by key: bytes per partition say little about the cost of a model call.
     """
     spark = prompts.sparkSession
     store = scratch_path(spark, "responses")
     pending = prompts.select(*keys, "prompt")
     results: DataFrame | None = None
     for attempt in range(1, max_attempts + 1):
+        if partitions is not None:
+            pending = pending.repartition(partitions, *keys)
         answered = pending.select(
             *keys, "prompt", generated(F.col("prompt"), fn, attempt, result_type).alias("_response")
         ).select(*keys, "prompt", parser(F.col("_response")).alias("_parsed"))

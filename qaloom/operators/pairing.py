@@ -10,16 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from qaloom.functions.hashing import hash_draw, stable_hash
-from qaloom.lineage import written
+from qaloom.lineage import BROADCAST_ROWS, written_side
 from qaloom.operators.dense import hash_index
 from qaloom.operators.gates import category_in
 from qaloom.operators.reshape import constant_labels
 from qaloom.schemas import CATEGORIES, MINORITY_CATEGORIES, NEGATIVE_DRAWS
 
-# Up to this many drawn rows are sent to every executor (three numbers each, about
-# 50 MB); a larger draw is matched by shuffle.
-BROADCAST_DRAWS = 1_000_000
-
 
 def category_partner(
     qa: DataFrame,
@@ -86,8 +82,8 @@ def category_sample_two(
 
     The draw reads ids and categories only: every task keeps its three lowest hashes per
     category before the shuffle, so a hot category costs three narrow rows per task. The
-    draw is written first; Spark then knows its size when it picks the join that fetches
-    the texts. A category with fewer than two rows in its pool gives none.
+    draw is written and counted first, so that the texts need not be shuffled to meet it.
+    A category with fewer than two rows in its pool gives none.
     """
     lowest = Window.partitionBy("category").orderBy("_hash", "row_id")
     digest = stable_hash(F.col("row_id"), f"{seed}|sample")
@@ -100,7 +96,7 @@ def category_sample_two(
         firsts = qa.groupBy("category").agg(F.min("row_id").alias("_first"))
         drawn = drawn.join(firsts, "category").where(F.col("row_id") != F.col("_first"))
     drawn = drawn.withColumn("slot", F.row_number().over(lowest)).where(F.col("slot") <= 2)
-    picks = written(drawn.select("row_id", "slot"), "sample")
+    picks = written_side(drawn.select("row_id", "slot"), "sample")
 
     rows = qa.select("category", "row_id", "input", "output").join(picks, "row_id")
     row = F.struct("row_id", "input", "output")
@@ -184,4 +180,4 @@ def negative_pairs(
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a side that is known to have few enough rows; else leave it to Spark."""
-    return F.broadcast(df) if rows <= BROADCAST_DRAWS else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

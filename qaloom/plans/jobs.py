@@ -106,6 +106,7 @@ def training_set(
 
 
 def write_training_set(folds: DataFrame, path: str) -> None:
-    """One folder per side, so that reading one side skips the other."""
-    folds.write.mode("overwrite").partitionBy("is_eval").parquet(path)
-
+    """One folder per side (``train``, ``eval``), so that reading one skips the other."""
+    side = F.when(F.col("is_eval"), "eval").otherwise("train")
+    rows = folds.withColumn("side", side).drop("is_eval")
+    rows.write.mode("overwrite").partitionBy("side").parquet(path)

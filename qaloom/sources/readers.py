@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from qaloom.lineage import written_side
 from qaloom.schemas import (
     MISSING_TEXTS,
     PASSAGE_HEADER,
@@ -37,7 +38,8 @@ def with_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
 
     ``scan`` must come straight from a file reader. Rows of one split are read in
     order by one task, so the increasing id minus the split's lowest one is the place
-    in the split; one small row per split carries the number of rows before it.
+    in the split. One small row per split, written and counted first, carries the number
+    of rows before it; the data rows stay where they were read.
     """
     tagged = scan.select(
         "*",
@@ -54,6 +56,7 @@ def with_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
         F.col("_block").alias("_b"),
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_low")).alias("_shift"),
     )
+    starts = written_side(starts, "splits")
     joined = tagged.join(
         starts, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b"))
     )

@@ -32,7 +32,7 @@ def append_jsonl(df: DataFrame, path: str, key: str | None = None) -> None:
             if "PATH_NOT_FOUND" not in (missing.getCondition() or ""):
                 raise
         else:
-            pending = df.join(done.select(key).distinct(), key, "left_anti")
+            pending = df.join(done.select(key), key, "left_anti")
     _as_records(pending).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
