@@ -32,7 +32,7 @@ def _score_out(rows: DataFrame) -> DataFrame:
     "curate",
     f"""WITH {a.QA_DOCS}, {BAND},
     prompted AS (SELECT *, {RUBRIC_PROMPT_SQL} AS p FROM banded WHERE {UNMARKED}),
-    scored AS (SELECT *, {standins.sql_score("p")} AS s, length(p) % 11 = 0 AS d FROM prompted),
+    scored AS (SELECT *, {standins.sql_score("p")} AS s, {standins.sql_never_scored("p")} AS d FROM prompted),
     corrected AS (
       SELECT *, {standins.sql_correct("input")} AS ci, {standins.sql_correct("output")} AS co
       FROM scored WHERE s >= 3)
@@ -52,7 +52,7 @@ def curate(spark: SparkSession, sf_dir: str) -> DataFrame:
     "score_rows",
     f"""WITH {a.QA_CONV}, prompted AS (SELECT *, {RUBRIC_PROMPT_SQL} AS p FROM qa_conv)
     SELECT row_id, input, output, category, round({standins.sql_score("p")}, 6) AS average_score,
-      length(p) % 11 = 0 AS score_defaulted
+      {standins.sql_never_scored("p")} AS score_defaulted
     FROM prompted""",
 )
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +62,11 @@ def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "generate_with_retry",
     f"""WITH {a.QA_CONV}, prompted AS (SELECT row_id, {RUBRIC_PROMPT_SQL} AS p FROM qa_conv)
-    SELECT row_id, CASE WHEN length(p) % 11 <> 0 THEN round({standins.sql_score("p")}, 6) END AS average,
-      length(p) % 11 <> 0 AS ok,
-      CAST(CASE WHEN length(p) % 11 = 0 THEN 5 WHEN length(p) % 5 = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempt
+    SELECT row_id,
+      CASE WHEN NOT ({standins.sql_never_scored("p")}) THEN round({standins.sql_score("p")}, 6) END AS average,
+      NOT ({standins.sql_never_scored("p")}) AS ok,
+      CAST(CASE WHEN {standins.sql_never_scored("p")} THEN 5 WHEN {standins.sql_scored_late("p")} THEN 3
+           ELSE 1 END AS INTEGER) AS attempt
     FROM prompted""",
 )
 def generate_with_retry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +115,7 @@ prompted AS (
   SELECT *, {RUBRIC_PROMPT_SQL} AS p FROM unpivoted WHERE length(output) BETWEEN 100 AND 300),
 candidates AS (
   SELECT row_id, a_no, q_no, input, output, category, {standins.sql_score("p")} AS average_score,
-    length(p) % 11 = 0 AS score_defaulted
+    {standins.sql_never_scored("p")} AS score_defaulted
   FROM prompted WHERE {standins.sql_score("p")} >= 3)"""
 
 

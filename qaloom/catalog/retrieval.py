@@ -9,7 +9,7 @@ from qaloom.catalog import standins
 from qaloom.catalog.registry import query
 from qaloom.operators import retrieval
 from qaloom.operators.dense import range_index
-from qaloom.operators.generation import embed_text
+from qaloom.operators.generation import embed_text, spread
 from qaloom.operators.submission import positional_fallback_join
 from qaloom.plans.answering import build_submission
 
@@ -85,7 +85,7 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, slot, value FROM embedded""",
 )
 def embed_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = a.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(a.table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     return embed_text(docs, "text", standins.embed).select(
         "doc_id", F.posexplode("embedding").alias("slot", "value")
     ).withColumns({"slot": F.col("slot").cast("long"), "value": F.col("value").cast("double")})

@@ -21,22 +21,30 @@ def _md5(text: str) -> str:
 
 def score(prompts: list[str], attempt: int) -> list[str]:
     def one(prompt: str) -> str:
-        n = len(prompt)
-        if n % 11 == 0 or (n % 5 == 0 and attempt < 3):
+        digits = [int(d, 16) for d in _md5(prompt)[:5]]
+        if digits[3] % 8 == 0 or (digits[4] % 4 == 0 and attempt < 3):
             return "no marks"
-        marks = (n % 6, n // 6 % 6, n // 36 % 6)
-        return "".join(f"{m}{v}" for m, v in zip(RUBRIC_MARKERS, marks))
+        return "".join(f"{m}{5 - d % 6}" for m, d in zip(RUBRIC_MARKERS, digits))
 
     return [one(p) for p in prompts]
 
 
+def _sql_digit(prompt: str, place: int) -> str:
+    return f"('0x' || substr(md5({prompt}), {place}, 1))::BIGINT"
+
+
+def sql_never_scored(prompt: str) -> str:
+    return f"{_sql_digit(prompt, 4)} % 8 = 0"
+
+
+def sql_scored_late(prompt: str) -> str:
+    return f"{_sql_digit(prompt, 5)} % 4 = 0"
+
+
 def sql_score(prompt: str) -> str:
     """Average score, the default where there are never marks."""
-    n = f"length({prompt})"
-    return (
-        f"CASE WHEN {n} % 11 = 0 THEN 3.0::DOUBLE "
-        f"ELSE ({n} % 6 + {n} // 6 % 6 + {n} // 36 % 6)::DOUBLE / 3 END"
-    )
+    marks = " + ".join(f"5 - {_sql_digit(prompt, i)} % 6" for i in (1, 2, 3))
+    return f"CASE WHEN {sql_never_scored(prompt)} THEN 3.0::DOUBLE ELSE ({marks})::DOUBLE / 3 END"
 
 
 def write_pair(prompts: list[str], attempt: int) -> list[str | None]:
@@ -47,7 +55,7 @@ def write_pair(prompts: list[str], attempt: int) -> list[str | None]:
         if n % 3 == 0 and attempt == 1:
             return "nothing to say"
         digest = _md5(prompt)
-        return f"Q: q-{digest}\nA: {digest * (1 + n % 12)}"
+        return f"Q: q-{digest}\nA: {digest * (3 + n % 8)}"
 
     return [one(p) for p in prompts]
 
@@ -57,7 +65,7 @@ def sql_write_pair(prompt: str) -> tuple[str, str, str]:
     return (
         f"length({prompt}) % 7 <> 0",
         f"'q-' || md5({prompt})",
-        f"repeat(md5({prompt}), CAST(1 + length({prompt}) % 12 AS INTEGER))",
+        f"repeat(md5({prompt}), CAST(3 + length({prompt}) % 8 AS INTEGER))",
     )
 
 

@@ -9,7 +9,7 @@ from qaloom.catalog import standins
 from qaloom.catalog.registry import query
 from qaloom.functions import templates as t
 from qaloom.operators import gates, prompts, reshape, responses
-from qaloom.operators.generation import correct_text
+from qaloom.operators.generation import correct_text, spread
 from qaloom.functions.text import format_score
 from qaloom.schemas import ANSWER_MARKER
 
@@ -340,7 +340,7 @@ def correction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM corrected WHERE ci IS NOT NULL AND co IS NOT NULL""",
 )
 def correct_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correct_text(a.qa_docs(spark, sf_dir), standins.correct)
+    return correct_text(spread(a.qa_docs(spark, sf_dir), ["row_id"]), standins.correct)
 
 
 @query(

@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from qaloom.functions.batch import Correct, Embed, Generate, corrected, embedded, generated
-from qaloom.lineage import scratch_path
+from qaloom.lineage import written
 from qaloom.operators.reshape import correction_audit
 
 Parser = Callable[[Column], Column]
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Move rows apart by key where the input has fewer files than the cluster has cores.
+
+    Bytes per file say little about the cost of a model call. With enough files the rows
+    stay where they were read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(*keys) if 0 < len(df.inputFiles()) < cores else df
+
+
 def generate_with_retry(
     prompts: DataFrame,
     keys: list[str],
@@ -21,45 +31,39 @@ def generate_with_retry(
     max_attempts: int,
     on_fail: str = "drop",
     result_type: str = "string",
-    partitions: int | None = None,
 ) -> DataFrame:
     """Respond to each prompt until the response parses, at most ``max_attempts`` times.
 
-    Every attempt is one job whose responses are written once, so the model is never
-    asked again by a later action; only rows that did not parse go to the next attempt.
-    Only keys and prompts take part: join the result back by key. Returns the keys, the
+    The attempts are a chain of projections in one job: each asks again only for the rows
+    whose last response did not parse (the others send NULL, which costs no call). The
+    result is written once, so the model is never asked again by a later action. Only
+    keys and prompts take part: join the result back by key. Returns the keys, the
     parser's columns and ``attempt``. Rows that never parse are dropped, or kept with
-    ``ok`` false under ``on_fail="keep"``. ``partitions`` spreads the rows of every
-    attempt by key: bytes per partition say little about the cost of a model call.
+    ``ok`` false under ``on_fail="keep"``.
     """
-    spark = prompts.sparkSession
-    store = scratch_path(spark, "responses")
-    pending = prompts.select(*keys, "prompt")
-    results: DataFrame | None = None
-    for attempt in range(1, max_attempts + 1):
-        if partitions is not None:
-            pending = pending.repartition(partitions, *keys)
-        answered = pending.select(
-            *keys, "prompt", generated(F.col("prompt"), fn, attempt, result_type).alias("_response")
-        ).select(*keys, "prompt", parser(F.col("_response")).alias("_parsed"))
-        # A prompt is only kept for rows that need it again.
-        again = F.when(~F.col("_parsed.ok"), F.col("prompt"))
-        target = answered.select(
-            *keys, again.alias("prompt"), "_parsed", F.lit(attempt).alias("attempt")
+    rows = spread(prompts.select(*keys, "prompt"), keys)
+    parsed = parser(F.col("_response"))
+    readable = parsed.getField("ok")
+    rows = rows.select(
+        *keys,
+        "prompt",
+        generated(F.col("prompt"), fn, 1, result_type).alias("_response"),
+        F.lit(1).alias("attempt"),
+    )
+    for attempt in range(2, max_attempts + 1):
+        ok = F.col("_ok")
+        asked = rows.withColumn("_ok", readable).withColumn(
+            "_new", generated(F.when(~ok, F.col("prompt")), fn, attempt, result_type)
+        )
+        rows = asked.select(
+            *keys,
+            "prompt",
+            F.when(ok, F.col("_response")).otherwise(F.col("_new")).alias("_response"),
+            F.when(ok, F.col("attempt")).otherwise(attempt).alias("attempt"),
         )
-        path = f"{store}/attempt-{attempt}"
-        target.write.mode("overwrite").parquet(path)
-        table = spark.read.schema(target.schema).parquet(path)
-        done = table.where(F.col("_parsed.ok"))
-        failed = table.where(~F.col("_parsed.ok"))
-        results = done if results is None else results.unionByName(done)
-        pending = failed.select(*keys, "prompt")
-        if attempt == max_attempts:
-            if on_fail == "keep":
-                results = results.unionByName(failed)
-        elif pending.isEmpty():
-            break
-    return results.select(*keys, "_parsed.*", "attempt")
+    rows = rows.select(*keys, parsed.alias("_parsed"), "attempt")
+    results = written(rows.select(*keys, "_parsed.*", "attempt"), "responses")
+    return results if on_fail == "keep" else results.where("ok")
 
 
 def embed_text(df: DataFrame, column: str, fn: Embed) -> DataFrame:

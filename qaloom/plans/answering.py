@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from qaloom.functions.batch import Embed, Generate
 from qaloom.lineage import written
 from qaloom.operators import prompts, responses, retrieval
-from qaloom.operators.generation import embed_text, generate_with_retry
+from qaloom.operators.generation import embed_text, generate_with_retry, spread
 from qaloom.operators.submission import positional_fallback_join
 from qaloom.schemas import NEIGHBOURS
 
@@ -27,7 +27,8 @@ def answer_questions(questions: DataFrame, fn: Generate) -> DataFrame:
 
 def build_index(passages: DataFrame, fn: Embed, path: str | None = None) -> DataFrame:
     """Embed ``doc_id, page_content`` once and read the vectors back."""
-    vectors = embed_text(passages.select("doc_id", "page_content"), "page_content", fn)
+    texts = spread(passages.select("doc_id", "page_content"), ["doc_id"])
+    vectors = embed_text(texts, "page_content", fn)
     return written(vectors, "vectors", path)
 
 

@@ -31,7 +31,7 @@ def test_attempts(spark):
     made = generate_with_retry(asked, ["row_id"], needs, parse_qa_pair, 5)
     got = {r["row_id"]: (r["input"], r["output"], r["attempt"]) for r in made.collect()}
     assert got == {0: ("1", "at 1", 1), 1: ("3", "at 3", 3), 2: ("5", "at 5", 5), 5: ("1", "at 1", 1)}
-    kept = generate_with_retry(asked, ["row_id"], needs, parse_qa_pair, 2, on_fail="keep", partitions=3)
+    kept = generate_with_retry(asked, ["row_id"], needs, parse_qa_pair, 2, on_fail="keep")
     assert {r["row_id"]: r["ok"] for r in kept.collect()} == {
         0: True, 1: False, 2: False, 3: False, 4: False, 5: True,
     }
