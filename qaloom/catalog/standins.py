@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
+from collections import Counter
 
 from qaloom.schemas import ANSWER_MARKER, RUBRIC_MARKERS
 
@@ -99,19 +99,17 @@ def sql_answer_in_chunks(prompt: str) -> str:
     return f"CASE WHEN length({prompt}) % 13 <> 0 THEN 'c-' || md5({prompt}) END"
 
 
-@lru_cache(maxsize=200_000)
-def _slot(word: str) -> int:
-    return int(_md5(word)[:4], 16) % VECTOR_SIZE
-
-
 def embed(texts: list[str]) -> list[list[float]]:
     """Word counts in hashed slots."""
+    slots: dict[str, int] = {}
 
     def one(text: str) -> list[float]:
         counts = [0.0] * VECTOR_SIZE
-        for word in text.split(" "):
+        for word, times in Counter(text.split(" ")).items():
+            if word not in slots:
+                slots[word] = int(_md5(word)[:4], 16) % VECTOR_SIZE
             if word:
-                counts[_slot(word)] += 1.0
+                counts[slots[word]] += times
         return counts
 
     return [one(t) for t in texts]

@@ -148,8 +148,8 @@ def scan_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("write_submission", f"WITH {a.TEMPLATE} SELECT id, c0, c31, c63 FROM template")
+@query("write_submission", f"WITH {a.TEMPLATE} SELECT * EXCLUDE (row_id) FROM template")
 def write_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "submission")
     writers.write_submission(a.template(spark, sf_dir), path)
-    return readers.scan_template(spark, path).select("id", "c0", "c31", "c63")
+    return readers.scan_template(spark, path).drop("row_id")
