@@ -72,7 +72,7 @@ def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generate_with_retry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = prompts.build_rubric_prompt(a.qa_conv(spark, sf_dir), ["row_id"])
     made = generate_with_retry(
-        asked, ["row_id"], standins.score, responses.parse_rubric, 5, on_fail="keep"
+        asked, ["row_id"], standins.score, responses.RUBRIC, 5, on_fail="keep"
     )
     return made.select("row_id", F.round("average", 6).alias("average"), "ok", "attempt")
 
@@ -251,7 +251,7 @@ def stream_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = a.qa_conv(spark, sf_dir)
     asked = prompts.build_rubric_prompt(rows, ["row_id"])
     marks = generate_with_retry(
-        asked, ["row_id"], standins.score, _as_text, max_attempts=3, on_fail="keep"
+        asked, ["row_id"], standins.score, _TEXT, max_attempts=3, on_fail="keep"
     )
     incoming = rows.join(marks, "row_id").select(
         "row_id",
@@ -273,3 +273,6 @@ def _as_text(response):
     )
 
 
+_TEXT = responses.Parser(_as_text, responses.RUBRIC.readable)
+
+

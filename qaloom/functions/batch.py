@@ -1,7 +1,9 @@
 """Caller-supplied text functions, run on Arrow batches.
 
 The functions get a list of texts. If a batch call raises, the texts are tried one by
-one, so one bad text costs only itself.
+one, so one bad text costs only itself. All are declared non-deterministic, even where
+they are not: otherwise a filter derived from the result (``explode`` derives one) makes
+Spark call the function a second time.
 """
 
 from __future__ import annotations
@@ -41,12 +43,35 @@ def _over(texts: pd.Series, fn: Callable[[list[str]], Sequence[Any]]) -> pd.Seri
     return pd.Series([None if t is None else next(results) for t in texts], dtype=object)
 
 
-def generated(prompt: Column, fn: Generate, attempt: int, result_type: str = "string") -> Column:
-    """Response to each prompt. Not deterministic: write it before using it twice."""
-
-    @F.pandas_udf(result_type)
-    def ask(prompts: pd.Series) -> pd.Series:
-        return _over(prompts, lambda texts: fn(texts, attempt))
+def generated(
+    prompt: Column,
+    fn: Generate,
+    readable: Callable[[Any], bool],
+    max_attempts: int,
+    result_type: str = "string",
+) -> Column:
+    """Struct of the last response to each prompt and the number of attempts.
+
+    Only the prompts whose response is not ``readable`` are asked again, within the same
+    batch: one Python worker per task, whatever the number of attempts.
+    """
+
+    @F.pandas_udf(f"response {result_type}, attempt int")
+    def ask(prompts: pd.Series) -> pd.DataFrame:
+        texts = list(prompts)
+        responses: list[Any] = [None] * len(texts)
+        attempts = [max_attempts] * len(texts)
+        pending = [i for i, text in enumerate(texts) if text is not None]
+        for attempt in range(1, max_attempts + 1):
+            if not pending:
+                break
+            asked = [texts[i] for i in pending]
+            for i, answer in zip(pending, _each(lambda batch: fn(batch, attempt), asked)):
+                responses[i], attempts[i] = answer, attempt
+            pending = [i for i in pending if responses[i] is None or not readable(responses[i])]
+        return pd.DataFrame(
+            {"response": pd.Series(responses, dtype=object), "attempt": attempts}
+        )
 
     return ask.asNondeterministic()(prompt)
 
@@ -69,4 +94,4 @@ def embedded(text: Column, fn: Embed) -> Column:
         vectors = _over(texts, fn)
         return vectors.map(lambda v: None if v is None else np.asarray(v, dtype=np.float32))
 
-    return embed(text)
+    return embed.asNondeterministic()(text)

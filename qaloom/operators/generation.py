@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from qaloom.functions.batch import Correct, Embed, Generate, corrected, embedded, generated
 from qaloom.lineage import written
 from qaloom.operators.reshape import correction_audit
-
-Parser = Callable[[Column], Column]
+from qaloom.operators.responses import Parser
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,34 +31,18 @@ def generate_with_retry(
 ) -> DataFrame:
     """Respond to each prompt until the response parses, at most ``max_attempts`` times.
 
-    The attempts are a chain of projections in one job: each asks again only for the rows
-    whose last response did not parse (the others send NULL, which costs no call). The
-    result is written once, so the model is never asked again by a later action. Only
-    keys and prompts take part: join the result back by key. Returns the keys, the
-    parser's columns and ``attempt``. Rows that never parse are dropped, or kept with
-    ``ok`` false under ``on_fail="keep"``.
+    The attempts run inside one job, and the result is written once, so the model is
+    never asked again by a later action. Only keys and prompts take part: join the result
+    back by key. Returns the keys, the parser's columns and ``attempt``. Rows that never
+    parse are dropped, or kept with ``ok`` false under ``on_fail="keep"``.
     """
-    rows = spread(prompts.select(*keys, "prompt"), keys)
-    parsed = parser(F.col("_response"))
-    readable = parsed.getField("ok")
-    rows = rows.select(
+    asked = spread(prompts.select(*keys, "prompt"), keys)
+    answer = generated(F.col("prompt"), fn, parser.readable, max_attempts, result_type)
+    rows = asked.select(*keys, answer.alias("_answer")).select(
         *keys,
-        "prompt",
-        generated(F.col("prompt"), fn, 1, result_type).alias("_response"),
-        F.lit(1).alias("attempt"),
+        parser.columns(F.col("_answer.response")).alias("_parsed"),
+        F.col("_answer.attempt").alias("attempt"),
     )
-    for attempt in range(2, max_attempts + 1):
-        ok = F.col("_ok")
-        asked = rows.withColumn("_ok", readable).withColumn(
-            "_new", generated(F.when(~ok, F.col("prompt")), fn, attempt, result_type)
-        )
-        rows = asked.select(
-            *keys,
-            "prompt",
-            F.when(ok, F.col("_response")).otherwise(F.col("_new")).alias("_response"),
-            F.when(ok, F.col("attempt")).otherwise(attempt).alias("attempt"),
-        )
-    rows = rows.select(*keys, parsed.alias("_parsed"), "attempt")
     results = written(rows.select(*keys, "_parsed.*", "attempt"), "responses")
     return results if on_fail == "keep" else results.where("ok")
 

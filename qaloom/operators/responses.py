@@ -1,12 +1,18 @@
 """Parsers from a response text to typed columns.
 
 Each returns a struct with ``ok``: whether the response could be read at all. The
-functions take and return columns, so a parser runs in generated JVM code and the
-same one drives the retries.
+functions take and return columns, so parsing runs in generated JVM code. A ``Parser``
+adds a cheap test of one response for use inside a task: it only decides whether to ask
+again, never what a response says.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from qaloom.functions.text import contains_text, marker_split, parse_int
@@ -95,6 +101,33 @@ def first_chunk_answer(chunks: Column) -> Column:
     return F.struct(answer.alias("answer"), answer.isNotNull().alias("ok"))
 
 
+@dataclass(frozen=True)
+class Parser:
+    columns: Callable[[Column], Column]
+    readable: Callable[[Any], bool]
+
+
+def _holds(*markers: str) -> Callable[[str], bool]:
+    return lambda text: all(marker in text for marker in markers)
+
+
+def _matches(pattern: str) -> Callable[[str], bool]:
+    return lambda text: re.search(pattern, text) is not None
+
+
+_MARK = r"\s*[+-]?[0-9]+\s*"
+_OPTION_LINE = rf"[^\n]*{re.escape(OPTION_MARKER)}({'|'.join(OPTION_KEYS)})({re.escape(OPTION_MARKER)}[^\n]*)?\n"
+
+RUBRIC = Parser(parse_rubric, _matches("".join(re.escape(m) + _MARK for m in RUBRIC_MARKERS) + r"\Z"))
+PAIR = Parser(parse_qa_pair, _holds(*PAIR_MARKERS))
+LABELS = Parser(
+    parse_labels,
+    _matches(rf"\A{_OPTION_LINE}{_OPTION_LINE}[^\n]*{re.escape(OPTION_ANSWER_MARKER)}"),
+)
+ANSWER = Parser(extract_answer, _holds(ANSWER_MARKER))
+FIRST_CHUNK = Parser(first_chunk_answer, lambda chunks: len(chunks) > 0)
+
+
 def parsed(df: DataFrame, parser, response: str = "response") -> DataFrame:
     """Replace the response column by the parser's columns."""
     kept = [c for c in df.columns if c != response]

@@ -20,7 +20,7 @@ def answer_questions(questions: DataFrame, fn: Generate) -> DataFrame:
     """
     asked = prompts.build_answer_prompt(questions)
     made = generate_with_retry(
-        asked, ["id"], fn, responses.extract_answer, max_attempts=1, on_fail="keep"
+        asked, ["id"], fn, responses.ANSWER, max_attempts=1, on_fail="keep"
     )
     return _answers(questions, made)
 
@@ -56,7 +56,7 @@ def retrieve_and_answer(
         prompts.build_context_prompt(questions, contexts),
         ["id"],
         fn,
-        responses.first_chunk_answer,
+        responses.FIRST_CHUNK,
         max_attempts=1,
         on_fail="keep",
         result_type="array<string>",

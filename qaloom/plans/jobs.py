@@ -25,7 +25,7 @@ def score_rows(
     """
     by = keys or ["row_id"]
     marks = generate_with_retry(
-        prompts.build_rubric_prompt(qa, by), by, fn, responses.parse_rubric, max_attempts
+        prompts.build_rubric_prompt(qa, by), by, fn, responses.RUBRIC, max_attempts
     )
     scored = qa.join(marks.select(*by, "average"), by, "left")
     return scored.select(
@@ -40,7 +40,7 @@ def label_options(
 ) -> DataFrame:
     """Let the model choose the answers and write a joint pair: three records per row."""
     labels = generate_with_retry(
-        prompts.build_option_prompt(wide), ["row_id"], fn, responses.parse_labels, max_attempts
+        prompts.build_option_prompt(wide), ["row_id"], fn, responses.LABELS, max_attempts
     )
     return reshape.expand_labels(wide, labels)
 
@@ -49,7 +49,7 @@ def write_pairs(pairs: DataFrame, keys: list[str], fn: Generate) -> DataFrame:
     """A new question and answer for each pair of pairs; rows that never parse drop out."""
     by = [*keys, "category"]
     made = generate_with_retry(
-        prompts.build_pair_prompt(pairs, by), by, fn, responses.parse_qa_pair, PAIR_ATTEMPTS
+        prompts.build_pair_prompt(pairs, by), by, fn, responses.PAIR, PAIR_ATTEMPTS
     )
     return made.select(*by, "input", "output")
 

@@ -6,7 +6,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from qaloom.operators.generation import correct_text, embed_text, generate_with_retry
-from qaloom.operators.responses import first_chunk_answer, parse_qa_pair
+from qaloom.operators.responses import FIRST_CHUNK, PAIR
 from qaloom.plans import augment, jobs
 
 # The stand-ins below run in Python workers that cannot import this file.
@@ -28,10 +28,10 @@ def needs(texts, attempt):
 
 def test_attempts(spark):
     asked = prompts(spark, ["1", "3", "5", "never", "raise", "1"])
-    made = generate_with_retry(asked, ["row_id"], needs, parse_qa_pair, 5)
+    made = generate_with_retry(asked, ["row_id"], needs, PAIR, 5)
     got = {r["row_id"]: (r["input"], r["output"], r["attempt"]) for r in made.collect()}
     assert got == {0: ("1", "at 1", 1), 1: ("3", "at 3", 3), 2: ("5", "at 5", 5), 5: ("1", "at 1", 1)}
-    kept = generate_with_retry(asked, ["row_id"], needs, parse_qa_pair, 2, on_fail="keep")
+    kept = generate_with_retry(asked, ["row_id"], needs, PAIR, 2, on_fail="keep")
     assert {r["row_id"]: r["ok"] for r in kept.collect()} == {
         0: True, 1: False, 2: False, 3: False, 4: False, 5: True,
     }
@@ -45,7 +45,7 @@ def test_model_is_asked_once(spark):
 
         return [f"Q: {random.random()}\nA: x" for _ in texts]
 
-    made = generate_with_retry(prompts(spark, ["a"] * 50), ["row_id"], random_text, parse_qa_pair, 3)
+    made = generate_with_retry(prompts(spark, ["a"] * 50), ["row_id"], random_text, PAIR, 3)
     assert sorted(made.collect()) == sorted(made.collect())
 
 
@@ -54,7 +54,7 @@ def test_chunks(spark):
         prompts(spark, ["a", "b"]),
         ["row_id"],
         lambda texts, attempt: [["x", "y"] if t == "a" else [] for t in texts],
-        first_chunk_answer,
+        FIRST_CHUNK,
         1,
         on_fail="keep",
         result_type="array<string>",
@@ -66,7 +66,7 @@ def test_wrong_number_of_results_fails_row_by_row(spark):
     def loses_one(texts, attempt):
         return [f"Q: {t}\nA: x" for t in texts if t != "b"]
 
-    made = generate_with_retry(prompts(spark, ["a", "b", "c"]), ["row_id"], loses_one, parse_qa_pair, 1)
+    made = generate_with_retry(prompts(spark, ["a", "b", "c"]), ["row_id"], loses_one, PAIR, 1)
     assert {r["row_id"] for r in made.collect()} == {0, 2}
 
 

@@ -77,7 +77,7 @@ def test_top_k_is_partial_and_final(spark):
 def test_only_prompt_and_key_cross_to_python(spark):
     rows = adapters.qa_docs(spark, SF).withColumn("unused", F.lit("x"))
     asked = prompts.build_rubric_prompt(rows, ["row_id"])
-    answered = asked.select("row_id", generated(F.col("prompt"), lambda t, a: t, 1))
+    answered = asked.select("row_id", generated(F.col("prompt"), lambda t, a: t, bool, 1))
     plan = plan_of(answered)
     assert "ArrowEvalPython" in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
@@ -86,3 +86,8 @@ def test_only_prompt_and_key_cross_to_python(spark):
 def test_length_band_filters_in_one_pass(spark):
     plan = plan_of(QUERIES["length_quantile_band"](spark, SF))
     assert "Join" not in plan.replace("ReusedSubquery", "")
+
+
+def test_embedding_is_computed_once(spark):
+    plan = plan_of(QUERIES["embed_text"](spark, SF))
+    assert plan.count("ArrowEvalPython") == 1

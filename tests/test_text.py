@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from qaloom.functions.hashing import hash_draw, stable_hash
 from qaloom.functions.text import fill, format_score, marker_split, parse_int, text_length
 from qaloom.operators.responses import (
+    LABELS,
+    PAIR,
+    RUBRIC,
     extract_answer,
     first_chunk,
     parse_labels,
@@ -77,6 +80,7 @@ def rubric(a="4", b="5", c="3", tail=""):
 )
 def test_parse_rubric(spark, text, average):
     got = one(spark, text, parse_rubric)
+    assert text is None or RUBRIC.readable(text) == got["ok"]
     assert got["ok"] == (average is not None)
     assert got["average"] == average
 
@@ -100,6 +104,7 @@ def test_rubric_clamp(spark):
 )
 def test_parse_qa_pair(spark, text, pair):
     got = one(spark, text, parse_qa_pair)
+    assert text is None or PAIR.readable(text) == got["ok"]
     if pair is None:
         assert not got["ok"] and got["input"] is None
     else:
@@ -122,6 +127,7 @@ def test_parse_qa_pair(spark, text, pair):
 )
 def test_parse_labels(spark, text, expected):
     got = one(spark, text, parse_labels)
+    assert text is None or LABELS.readable(text) == got["ok"]
     if expected is None:
         assert got["ok"] is False
     else:
