@@ -50,13 +50,16 @@ def parse_labels(response: Column) -> Column:
 def parse_qa_pair(response: Column) -> Column:
     """A question and an answer behind their markers."""
     question_marker, answer_marker = PAIR_MARKERS
-    question = marker_split(marker_split(response, question_marker, 1), answer_marker, 0)
-    answer = marker_split(response, answer_marker, 1)
-    ok = question.isNotNull() & answer.isNotNull()
+    # Two cheap scans decide; the whole text is split only where both markers are there.
+    ok = contains_text(response, question_marker) & contains_text(response, answer_marker)
+    question = marker_split(
+        F.split_part(response, F.lit(question_marker), F.lit(2)), answer_marker, 0
+    )
+    answer = F.split_part(response, F.lit(answer_marker), F.lit(2))
     return F.struct(
         F.when(ok, question).alias("input"),
         F.when(ok, answer).alias("output"),
-        ok.alias("ok"),
+        F.coalesce(ok, F.lit(False)).alias("ok"),
     )
 
 
