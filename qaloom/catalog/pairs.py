@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from qaloom.catalog import adapters as a
 from qaloom.catalog.registry import query
+from qaloom.functions.hashing import hash_draw, stable_hash
 from qaloom.operators import pairing, split, stats
+from qaloom.operators.dense import range_index
 
 SEED = "7"
 
@@ -20,6 +22,26 @@ def sql_pool(source: str, seed: str, name: str = "pool", skip_first: bool = True
   FROM (SELECT *, min(row_id) OVER (PARTITION BY category) AS first_id FROM {source}) {where})"""
 
 
+@query(
+    "stable_hash",
+    f"""SELECT doc_id, {a.sql_hash("doc_id", SEED)} AS digest,
+      {a.sql_draw(a.sql_hash("doc_id", SEED), "n_chars")} AS draw FROM documents""",
+)
+def stable_hash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = stable_hash(F.col("doc_id"), SEED)
+    return a.table(spark, sf_dir, "documents").select(
+        "doc_id", digest.alias("digest"), hash_draw(digest, F.col("n_chars")).alias("draw")
+    )
+
+
+@query(
+    "dense_index",
+    f"WITH {a.QA_CONV} SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS position FROM qa_conv",
+)
+def dense_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_index(a.qa_conv(spark, sf_dir), "row_id")
+
+
 @query(
     "category_pool",
     f"WITH {a.QA_DOCS}, {sql_pool('qa_docs', SEED)} SELECT category, row_id, idx, pool_n FROM pool",

@@ -10,7 +10,7 @@ from qaloom.catalog.registry import query
 from qaloom.functions import templates as t
 from qaloom.operators import gates, prompts, reshape, responses
 from qaloom.operators.generation import correct_text, spread
-from qaloom.functions.text import format_score
+from qaloom.functions.text import format_score, marker_count, marker_split, parse_int
 from qaloom.schemas import ANSWER_MARKER
 
 
@@ -158,6 +158,33 @@ def drop_unparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "marker_split",
+    """SELECT doc_id, CASE WHEN len(string_split(text, '. ')) > 2 THEN string_split(text, '. ')[3] END AS part,
+      CAST((length(text) - length(replace(text, '. ', ''))) // 2 AS INTEGER) AS markers
+    FROM documents""",
+)
+def marker_split_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return a.table(spark, sf_dir, "documents").select(
+        "doc_id",
+        marker_split(text, ". ", 2).alias("part"),
+        marker_count(text, ". ").alias("markers"),
+    )
+
+
+@query(
+    "parse_int",
+    f"""WITH tokens AS (SELECT doc_id, split_part(source, 'src', 2) AS token FROM documents)
+    SELECT doc_id, token, {a.sql_int("token")} AS number FROM tokens""",
+)
+def parse_int_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    token = F.split_part("source", F.lit("src"), F.lit(2))
+    return a.table(spark, sf_dir, "documents").select(
+        "doc_id", token.alias("token"), parse_int(token).alias("number")
+    )
+
+
 @query(
     "parse_rubric",
     f"""WITH {a.PARSED_RUBRIC}

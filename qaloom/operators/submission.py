@@ -12,10 +12,13 @@ def positional_fallback_join(
 
     ``template`` has ``row_id, id`` and the numeric columns, ``outputs`` has ``embedding``
     and the matching column: ``row_id`` (position in the file) or ``id``. A row without a
-    usable vector (none, or not one number per column) keeps the template's numbers.
+    usable vector (none, or not one number per column) keeps the template's numbers. By
+    id, the last answer counts where ``outputs`` has several and gives their ``row_id``.
     """
     numbers = [c for c in template.columns if c not in ("row_id", "id")]
-    vectors = outputs.select(F.col(by), F.col("embedding").alias("_vector"))
+    vectors = outputs.select(by, F.col("embedding").alias("_vector"))
+    if by != "row_id" and "row_id" in outputs.columns:
+        vectors = outputs.groupBy(by).agg(F.max_by("embedding", "row_id").alias("_vector"))
     usable = F.size("_vector") == len(numbers)
     joined = template.join(vectors, by, "left")
     return joined.select(

@@ -74,5 +74,6 @@ def build_submission(
     outputs: DataFrame, template: DataFrame, embed: Embed, by: str = "row_id"
 ) -> DataFrame:
     """Embed the answers and lay them out on the template, by position or by id."""
-    vectors = embed_text(outputs.select(by, "output"), "output", embed)
+    kept = [c for c in ("row_id", "id") if c == by or (c == "row_id" and c in outputs.columns)]
+    vectors = embed_text(outputs.select(*kept, "output"), "output", embed)
     return positional_fallback_join(template, vectors, by)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from qaloom.lineage import written_side
+from qaloom.lineage import written, written_side
 from qaloom.schemas import (
     MISSING_TEXTS,
     PASSAGE_HEADER,
@@ -36,16 +36,20 @@ def _present(column: Column) -> Column:
 def with_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
     """Add each row's position in file order (file path, then place in the file).
 
-    ``scan`` must come straight from a file reader. Rows of one split are read in
-    order by one task, so the increasing id minus the split's lowest one is the place
-    in the split. One small row per split, written and counted first, carries the number
-    of rows before it; the data rows stay where they were read.
+    ``scan`` must come straight from a file reader. Rows of one split are read in order
+    by one task, so the increasing id minus the split's lowest one is the place in the
+    split. The tagged rows are written once, which settles the ids and turns the text
+    into columns for all later passes. One small row per split carries the number of rows
+    before it; it is counted before it is broadcast, and the data rows do not move.
     """
-    tagged = scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seen"),
+    tagged = written(
+        scan.select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_seen"),
+        ),
+        "positions",
     )
     splits = tagged.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("n"), F.min("_seen").alias("_low")

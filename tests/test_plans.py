@@ -10,6 +10,7 @@ from qaloom.catalog import QUERIES
 from qaloom.catalog import adapters
 from qaloom.functions.batch import generated
 from qaloom.operators import pairing, prompts, retrieval
+from qaloom.plans import augment
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +92,28 @@ def test_length_band_filters_in_one_pass(spark):
 def test_embedding_is_computed_once(spark):
     plan = plan_of(QUERIES["embed_text"](spark, SF))
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_round_reads_only_the_drawn_positions(spark, tmp_path):
+    path = str(tmp_path / "base")
+    rows = adapters.qa_docs(spark, SF).selectExpr("category", "row_id AS idx", "input", "output")
+    rows.write.parquet(path)
+    pairs = augment._pairs(spark.read.parquet(path), {"en": (3, 9), "de": (5, 1)})
+    pushed = next(line for line in plan_of(pairs).splitlines() if "PushedFilters" in line)
+    assert "EqualTo(category,en)" in pushed and "In(idx, [3,9])" in pushed
+
+
+def test_hot_key_is_spread_over_buckets(spark):
+    """One key with all rows: no task of the window gets more than a small part of them."""
+    rows = spark.range(40_000).selectExpr("id AS row_id", "'hot' AS category")
+    indexed = pairing.hash_index(rows, "category", "row_id", 1)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [
+            r["n"]
+            for r in indexed.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+        ]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(sizes) == 4 and max(sizes) < 12_000

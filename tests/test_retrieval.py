@@ -127,3 +127,13 @@ def test_positional_fallback(spark):
         (0, "T0", 0.5, 1.5), (1, "T1", 1.0, -1.0), (2, "T2", 2.0, -1.0), (3, "T3", 3.0, -1.0),
         (4, "T4", 4.0, -1.0),
     ]
+
+
+def test_last_answer_counts_by_id(spark):
+    template = spark.createDataFrame([(0, "T0", 0.0)], "row_id long, id string, c0 double")
+    outputs = spark.createDataFrame(
+        [(3, "T0", [2.0]), (9, "T0", [5.0]), (1, "T0", [1.0])],
+        "row_id long, id string, embedding array<float>",
+    )
+    got = positional_fallback_join(template, outputs, by="id").collect()
+    assert [tuple(r) for r in got] == [(0, "T0", 5.0)]

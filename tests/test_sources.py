@@ -43,6 +43,8 @@ def test_row_ids_follow_files_and_splits(spark, tmp_path):
             text = f"{part}-{i}-" + "z" * (i % 50)
             lines.append(json.dumps({"input": text, "output": "o", "category": "c"}))
             expected.append(text)
+            if i % 100 == 50:
+                lines.append("")
         (root / f"part-{part}.json").write_text("\n".join(lines) + "\n")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
