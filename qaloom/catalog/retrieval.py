@@ -41,20 +41,14 @@ def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("knn_join_blocked", _HITS_OUT)
 def knn_join_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(
-        retrieval.knn_join_blocked(
-            a.vector_queries(spark, sf_dir), a.vectors(spark, sf_dir),
-            block_queries=300, block_passages=200,
-        )
+        retrieval.knn_join_blocked(a.vector_queries(spark, sf_dir), a.vectors(spark, sf_dir))
     )
 
 
 @query("knn_join_pruned", _HITS_OUT)
 def knn_join_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(
-        retrieval.knn_join_pruned(
-            a.vector_queries(spark, sf_dir), a.vectors(spark, sf_dir),
-            pivots=16, block_queries=1000, block_passages=100,
-        )
+        retrieval.knn_join_pruned(a.vector_queries(spark, sf_dir), a.vectors(spark, sf_dir))
     )
 
 

@@ -28,22 +28,25 @@ def generate_with_retry(
     max_attempts: int,
     on_fail: str = "drop",
     result_type: str = "string",
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Respond to each prompt until the response parses, at most ``max_attempts`` times.
 
     The attempts run inside one job, and the result is written once, so the model is
-    never asked again by a later action. Only keys and prompts take part: join the result
-    back by key. Returns the keys, the parser's columns and ``attempt``. Rows that never
-    parse are dropped, or kept with ``ok`` false under ``on_fail="keep"``.
+    never asked again by a later action. Only the prompt goes to Python; ``carry`` names
+    further columns that stay beside it, for callers that want them without a join.
+    Returns the keys, the carried and the parser's columns and ``attempt``. Rows that
+    never parse are dropped, or kept with ``ok`` false under ``on_fail="keep"``.
     """
-    asked = spread(prompts.select(*keys, "prompt"), keys)
+    kept = [*keys, *(carry or [])]
+    asked = spread(prompts.select(*kept, "prompt"), keys)
     answer = generated(F.col("prompt"), fn, parser.readable, max_attempts, result_type)
-    rows = asked.select(*keys, answer.alias("_answer")).select(
-        *keys,
+    rows = asked.select(*kept, answer.alias("_answer")).select(
+        *kept,
         parser.columns(F.col("_answer.response")).alias("_parsed"),
         F.col("_answer.attempt").alias("attempt"),
     )
-    results = written(rows.select(*keys, "_parsed.*", "attempt"), "responses")
+    results = written(rows.select(*kept, "_parsed.*", "attempt"), "responses")
     return results if on_fail == "keep" else results.where("ok")
 
 

@@ -21,14 +21,20 @@ def score_rows(
 ) -> DataFrame:
     """Add ``average_score`` and ``score_defaulted``.
 
-    A row that cannot be scored gets the default, which passes the usual gate.
+    A row that cannot be scored gets the default, which passes the usual gate. The rows
+    themselves are written with their score: ``qa`` is evaluated once and nothing joins.
     """
     by = keys or ["row_id"]
     marks = generate_with_retry(
-        prompts.build_rubric_prompt(qa, by), by, fn, responses.RUBRIC, max_attempts
+        prompts.build_rubric_prompt(qa, qa.columns),
+        by,
+        fn,
+        responses.RUBRIC,
+        max_attempts,
+        on_fail="keep",
+        carry=[c for c in qa.columns if c not in by],
     )
-    scored = qa.join(marks.select(*by, "average"), by, "left")
-    return scored.select(
+    return marks.select(
         *qa.columns,
         F.coalesce("average", F.lit(default)).alias("average_score"),
         F.col("average").isNull().alias("score_defaulted"),
