@@ -16,7 +16,8 @@ def answer_questions(questions: DataFrame, fn: Generate) -> DataFrame:
     """``id, input, output``: the text behind the answer marker of what ``fn`` returns.
 
     ``fn`` returns the prompt with its continuation. A text without the marker leaves the
-    answer NULL, so that the question keeps its line in the submission.
+    answer NULL, so that the question keeps its line in the submission. The position of
+    the question (``row_id``), where there is one, stays with its answer.
     """
     asked = prompts.build_answer_prompt(questions)
     made = generate_with_retry(
@@ -65,8 +66,9 @@ def retrieve_and_answer(
 
 
 def _answers(questions: DataFrame, made: DataFrame) -> DataFrame:
+    place = ["row_id"] if "row_id" in questions.columns else []
     return questions.join(made.select("id", "answer"), "id").select(
-        "id", F.col("question").alias("input"), F.col("answer").alias("output")
+        *place, "id", F.col("question").alias("input"), F.col("answer").alias("output")
     )
 
 
@@ -75,5 +77,5 @@ def build_submission(
 ) -> DataFrame:
     """Embed the answers and lay them out on the template, by position or by id."""
     kept = [c for c in ("row_id", "id") if c == by or (c == "row_id" and c in outputs.columns)]
-    vectors = embed_text(outputs.select(*kept, "output"), "output", embed)
+    vectors = embed_text(spread(outputs.select(*kept, "output"), [by]), "output", embed)
     return positional_fallback_join(template, vectors, by)

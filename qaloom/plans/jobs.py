@@ -19,23 +19,24 @@ def score_rows(
     max_attempts: int = SCORE_ATTEMPTS,
     default: float = DEFAULT_SCORE,
 ) -> DataFrame:
-    """Add ``average_score`` and ``score_defaulted``.
+    """Add (or replace) ``average_score`` and ``score_defaulted``.
 
     A row that cannot be scored gets the default, which passes the usual gate. The rows
     themselves are written with their score: ``qa`` is evaluated once and nothing joins.
     """
     by = keys or ["row_id"]
+    columns = [c for c in qa.columns if c not in ("average_score", "score_defaulted")]
     marks = generate_with_retry(
-        prompts.build_rubric_prompt(qa, qa.columns),
+        prompts.build_rubric_prompt(qa, columns),
         by,
         fn,
         responses.RUBRIC,
         max_attempts,
         on_fail="keep",
-        carry=[c for c in qa.columns if c not in by],
+        carry=[c for c in columns if c not in by],
     )
     return marks.select(
-        *qa.columns,
+        *columns,
         F.coalesce("average", F.lit(default)).alias("average_score"),
         F.col("average").isNull().alias("score_defaulted"),
     )

@@ -10,10 +10,14 @@ from qaloom.schemas import PASSAGE_HEADER
 
 
 def _as_records(df: DataFrame) -> DataFrame:
-    """Scores leave as text with two decimals."""
-    if dict(df.dtypes).get("average_score") == "double":
-        return df.withColumn("average_score", format_score(F.col("average_score")))
-    return df
+    """Scores leave as text with two decimals, the correction flag as ``True``/``False``."""
+    types = dict(df.dtypes)
+    texts = {}
+    if types.get("average_score") == "double":
+        texts["average_score"] = format_score(F.col("average_score"))
+    if types.get("is_corrected") == "boolean":
+        texts["is_corrected"] = F.initcap(F.col("is_corrected").cast("string"))
+    return df.withColumns(texts) if texts else df
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

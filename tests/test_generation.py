@@ -105,6 +105,34 @@ def test_default_score_passes_the_gate(spark, qa):
     assert 0 < curated.count() < qa.count()
 
 
+def test_scores_can_be_replaced(spark, qa):
+    first = jobs.score_rows(qa, lambda texts, attempt: [marks(1)] * len(texts))
+    again = jobs.score_rows(first, lambda texts, attempt: [marks(4)] * len(texts))
+    assert again.columns == first.columns
+    assert {r["average_score"] for r in again.collect()} == {4.0}
+
+
+def test_answers_keep_their_position(spark):
+    from qaloom.plans.answering import answer_questions, build_submission
+
+    asked = spark.createDataFrame(
+        [(i, f"T{i}", f"question {i}") for i in range(4)], "row_id long, id string, question string"
+    )
+
+    def answer(texts, attempt):
+        return ["no marker" if "question 2" in t else t + "x" * len(t) for t in texts]
+
+    answers = answer_questions(asked, answer)
+    assert {r["row_id"]: r["output"] is None for r in answers.collect()} == {
+        0: False, 1: False, 2: True, 3: False,
+    }
+    template = asked.selectExpr("row_id", "id", "-1.0D AS c0")
+    for by in ("row_id", "id"):
+        wide = build_submission(answers, template, lambda texts: [[float(len(t))] for t in texts], by)
+        got = {r["id"]: r["c0"] for r in wide.collect()}
+        assert got["T2"] == -1.0 and min(got["T0"], got["T1"], got["T3"]) > 0
+
+
 def test_synthesized_rows_stay_in_their_category(spark, qa):
     made = jobs.synthesize_pairs(
         qa, lambda texts, attempt: [f"Q: new\nA: {len(t)}" for t in texts], 1, repeats=2

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from qaloom.schemas import SCORED_RECORD
+from qaloom.schemas import AUDITED_RECORD, SCORED_RECORD
 from qaloom.sources import readers, writers
 
 HEAD = "id,질문_1,질문_2,category,답변_1,답변_2,답변_3,답변_4,답변_5"
@@ -82,6 +82,18 @@ def test_jsonl_writer(spark, tmp_path):
     assert lines == ['{"input":"가","output":null,"average_score":"4.33"}']
 
 
+def test_audited_records_round_trip(spark, tmp_path):
+    path = str(tmp_path / "audited")
+    df = spark.createDataFrame(
+        [("a", "b", "c", 3.0, True, "A", "b"), ("a", "b", "c", 3.0, False, "", "")],
+        "input string, output string, category string, average_score double, "
+        "is_corrected boolean, before_input string, before_output string",
+    )
+    writers.write_jsonl(df, path)
+    rows = readers.scan_jsonl(spark, path, AUDITED_RECORD).collect()
+    assert {(r["is_corrected"], r["average_score"]) for r in rows} == {("True", "3.00"), ("False", "3.00")}
+
+
 def test_append_with_key_runs_once(spark, tmp_path, qa):
     path = str(tmp_path / "out")
     writers.append_jsonl(qa.where("row_id < 10"), path, "row_id")
