@@ -9,7 +9,8 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
+from qaloom.catalog import ORACLES, QUERIES  # noqa: E402
 from tools.check_oracles import difference, views  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -20,10 +21,10 @@ def db():
     return views(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    ours = queries()[name](spark, SF).toArrow()
-    theirs = db.execute(oracle_sql()[name]).to_arrow_table()
+    ours = QUERIES[name](spark, SF).toArrow()
+    theirs = db.execute(ORACLES[name]).to_arrow_table()
     assert difference(ours, theirs) is None
 
 
