@@ -45,12 +45,30 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end of every word ``[^\\x20\\x09-\\x0D]+`` and the n + 1 word offsets of the texts."""
+# Letters and digits: ASCII ones, and every byte of longer characters.
+LETTER = np.zeros(256, bool)
+LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """ASCII and Latin-1 letters in lower case, in the same bytes."""
+    out = raw.copy()
+    out[(raw >= 65) & (raw <= 90)] += 32
+    after = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    capital = after[(raw[after] >= 0x80) & (raw[after] <= 0x9E) & (raw[after] != 0x97)]
+    out[capital] += 32
+    return out
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, chars: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end of every run of ``chars`` and the n + 1 word offsets of the texts.
+
+    By default a word is ``[^\\x20\\x09-\\x0D]+``.
+    """
     if not len(raw):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[raw]
+    inside = chars[raw]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
@@ -111,3 +129,10 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         out *= np.uint64(0xD6E8FEB86659FD93)
         out += hashes[j : j + count]
     return mix(out)
+
+
+def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of values[offsets[i]:offsets[i + 1]], exact for whole numbers."""
+    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.llm import bpe, simhash, suffixes
+from qaloom.llm import bpe, langmix, quality, simhash, suffixes, toxicity
 from qaloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -27,3 +27,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffixes")
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.without_repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_langmix")
+def op8_langmix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmix.predictions(table(spark, sf_dir, "documents"))

@@ -31,3 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id) -> F.Column:
     """Fold of a document: true for the third that no model may learn labels from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
