@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.llm import bpe, langmix, quality, simhash, suffixes, toxicity
+from qaloom.llm import bpe, langmix, quality, simhash, suffixes, tiling, toxicity
 from qaloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -42,3 +42,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_langmix")
 def op8_langmix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmix.predictions(table(spark, sf_dir, "documents"))
+
+
+@query("op1_tiling")
+def op1_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
