@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.llm import bpe, langmix, quality, simhash, suffixes, tiling, toxicity
+from qaloom.llm import bpe, langmix, lines, quality, simhash, suffixes, tiling, toxicity
 from qaloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -47,3 +47,8 @@ def op8_langmix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_tiling")
 def op1_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_lines")
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
