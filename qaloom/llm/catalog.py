@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.llm import bpe, langmix, lines, quality, simhash, suffixes, tiling, toxicity
+from qaloom.llm import bpe, langmix, lines, quality, simhash, suffixes, surrogates, tiling, toxicity
 from qaloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -52,3 +52,9 @@ def op1_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_lines")
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_surrogates")
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymized(docs, key="a key of this example")
