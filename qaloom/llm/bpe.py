@@ -23,6 +23,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice, repeat
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -239,6 +240,11 @@ def vocabulary_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+def id_lists(ids: list[memoryview]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with ``out``, the ids of its text; every other column is kept."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text(docs.sparkSession, path))
@@ -248,8 +254,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
         for batch in batches:
             for row in range(0, batch.num_rows, 512):
                 part = batch.slice(row, 512)
-                ids = [list(vocabulary.encode(t)) for t in part.column(text).to_pylist()]
-                lists = pa.array(ids, pa.list_(pa.int32()))
+                lists = id_lists([vocabulary.encode(t) for t in part.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, out])
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -282,25 +287,27 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode every text in one pass; count and hashes only, the ids leave no task."""
+def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode every text in one pass: count and hashes of both, and the ids if asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text(docs.sparkSession, path))
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def run(batches):
         vocabulary = Vocabulary(shared.value)
-        names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
-        for batch in batches:
-            counts, sums, texts = [], [], []
+        names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+        for batch in (b.slice(row, 512) for b in batches for row in range(0, b.num_rows, 512)):
+            counts, sums, texts, lists = [], [], [], []
             for value in batch.column(1):
                 ids = vocabulary.encode(value.as_py())
                 counts.append(len(ids))
+                if with_ids:
+                    lists.append(ids)
                 sums.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 whole = hashlib.sha256()
                 for piece in vocabulary.decoded(ids):
                     whole.update(piece.encode())
                 texts.append(whole.hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([*columns, *[id_lists(lists)] * with_ids], names)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {DIGESTS}")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {DIGESTS}" + ", ids array<int>" * with_ids)

@@ -212,3 +212,11 @@ def near_duplicates(
     return prints.join(named, "fp").select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose id is the least of their component, identical rows once, with the columns they came with."""
+    groups = near_duplicates(docs, key)
+    first = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("first")).distinct()
+    first = written(first, "simhash-first")
+    return docs.join(first, docs[key].eqNullSafe(first["first"]), "left_semi").dropDuplicates([key, "text"])
