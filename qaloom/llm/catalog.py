@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.llm import bpe, langmix, lines, quality, simhash, suffixes, surrogates, tiling, toxicity
+from qaloom.llm import bpe, langmix, lines, passages, quality, simhash, suffixes, surrogates, tiling, toxicity
 from qaloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -58,3 +58,8 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.pseudonymized(docs, key="a key of this example")
+
+
+@query("op7_passages")
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
