@@ -150,7 +150,7 @@ def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-ROUNDS = 3
+ROUNDS = 12
 
 
 def _augment_sql() -> str:

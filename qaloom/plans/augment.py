@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, functions as F
 
 from qaloom.functions.batch import Generate
-from qaloom.lineage import scratch_path
+from qaloom.lineage import scratch_path, written
 from qaloom.operators import gates
 from qaloom.operators.stats import category_pool
 from qaloom.plans.jobs import score_rows, write_pairs
@@ -29,58 +29,76 @@ def augment_rounds(
     go in one job per round: a category draws only from its own rows, so this equals
     taking them one after the other.
 
-    The base set is indexed and written once, sorted by (category, position). A round
-    reads the drawn positions only, which the file statistics narrow to a few row
-    groups; it never scans the base set again. Each round's rows are written, so a plan
-    never spans more than one round. The driver keeps one count per listed category.
+    Where a draw falls depends on how many rows earlier rounds have added, and that is a
+    number between none and one per round. So all places a draw can fall on are known
+    beforehand: they are looked up in an index of ids and categories, and their texts are
+    fetched from the source in one pass and written by round. A round reads its own few
+    rows and never the base set. The driver keeps the generated rows, one per round and
+    listed category at most, each within the length gate.
     """
     names = categories or CATEGORIES
     spark = qa.sparkSession
-    pool = category_pool(
-        gates.category_in(qa, names), seed, skip_first=True, carry=["input", "output"]
-    )
-    path = scratch_path(spark, "augment")
-    (
-        pool.repartitionByRange("category", "idx")
-        .sortWithinPartitions("category", "idx")
-        .write.parquet(f"{path}/base")
-    )
-    base = spark.read.schema(pool.schema).parquet(f"{path}/base")
-    held = {
-        r["category"]: r["n"]
-        for r in base.groupBy("category").agg(F.max("pool_n").alias("n")).collect()
-    }
-    rows = base.select("category", "idx", "input", "output")
-    made: DataFrame | None = None
+    known = gates.category_in(qa, names)
+    index = written(category_pool(known, seed, skip_first=True).select("category", "idx", "row_id"), "augment-index")
+    held = {r["category"]: r["n"] for r in index.groupBy("category").agg(F.count("*").alias("n")).collect()}
+    folder = _fetched(known, index, held, seed, rounds)
+    text = {c: dict(qa.dtypes)[c] for c in ("input", "output")}
+    pair_schema = f"category_key string, category string, q1 {text['input']}, a1 {text['output']}, q2 {text['input']}, a2 {text['output']}"
+    base = dict(held)
+    made: list[tuple] = []
     for number in range(rounds):
-        draws = {c: _two(held.get(c, 0), f"{number}|{c}|{seed}") for c in names}
-        draws = {c: two for c, two in draws.items() if two}
+        draws = {c: two for c in held if (two := _two(held[c], f"{number}|{c}|{seed}"))}
         if not draws:
             break
-        current = rows if made is None else rows.unionByName(made.select(*rows.columns))
-        pairs = _pairs(current, draws)
+        drawn = {(c, i) for c, two in draws.items() for i in two}
+        here = {(r[1], r[2]): (r[3], r[4]) for r in made if (r[1], r[2]) in drawn}
+        wanted = F.lit(False)
+        for c in draws:
+            wanted = wanted | ((F.col("category") == c) & (F.col("added") == held[c] - base[c]))
+        rows = spark.read.schema(f"category string, added long, idx long, input {text['input']}, output {text['output']}").parquet(
+            f"{folder}/round={number}"
+        )
+        for r in rows.where(wanted).collect():  # two rows per listed category at most
+            here[(r["category"], r["idx"])] = (r["input"], r["output"])
+        pairs = spark.createDataFrame([(c, c, *here[(c, i)], *here[(c, j)]) for c, (i, j) in draws.items()], pair_schema)
         drafts = gates.length_range(write_pairs(pairs, ["category_key"], write_pair))
         passed = gates.score_gate(score_rows(drafts, score, ["category_key"]))
-        place = F.create_map(*[F.lit(x) for c in draws for x in (c, held[c])])
-        new = passed.select(
-            F.lit(number).alias("round"),
-            "category",
-            F.element_at(place, F.col("category")).cast("bigint").alias("idx"),
-            "input",
-            "output",
-            "average_score",
-        )
-        # One row per listed category at most: one file.
-        new.coalesce(1).write.parquet(f"{path}/made/round={number}")
-        made = spark.read.schema(new.schema).parquet(f"{path}/made")
-        for r in made.where(F.col("round") == number).select("category").collect():
-            held[r["category"]] += 1
-    if made is None:
-        empty = rows.limit(0).select(
-            F.lit(0).alias("round"), "*", F.lit(0.0).alias("average_score")
-        )
-        return empty
-    return made.select("round", "category", "idx", "input", "output", "average_score")
+        for r in passed.select("category", "input", "output", "average_score").collect():
+            made.append((number, r["category"], held[r["category"]], r["input"], r["output"], r["average_score"]))
+        for r in made:
+            if r[0] == number:
+                held[r[1]] += 1
+    return spark.createDataFrame(
+        made, f"round int, category string, idx long, input {text['input']}, output {text['output']}, average_score double"
+    )
+
+
+def _fetched(qa: DataFrame, index: DataFrame, held: dict[str, int], seed: int | str, rounds: int) -> str:
+    """Folder of ``category, added, idx, input, output`` by round: the base rows a draw can fall on."""
+    spark = qa.sparkSession
+    path = scratch_path(spark, "augment")
+    sizes = spark.createDataFrame(list(held.items()), "category string, base long")
+    places = (
+        spark.range(rounds)
+        .select(F.col("id").alias("round"), F.explode(F.sequence(F.lit(0), F.col("id"))).alias("added"))
+        .join(F.broadcast(sizes))  # one row per listed category
+        .withColumn("n", F.col("base") + F.col("added"))
+        .where("n >= 2")
+    )
+
+    def draw(what: str) -> F.Column:
+        digest = F.md5(F.concat_ws("|", "round", "category", F.lit(str(seed)), F.lit(what)).cast("binary"))
+        return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+    first, second = draw("first") % F.col("n"), draw("second") % (F.col("n") - 1)
+    both = places.withColumns({"first": first, "second": second}).select(
+        "round", "category", "added", F.explode(F.array("first", F.col("second") + (F.col("second") >= F.col("first")).cast("long"))).alias("idx")
+    )
+    ids = written(both.join(index, ["category", "idx"]).select("round", "category", "added", "idx", "row_id"), "augment-places")
+    texts = qa.select("row_id", "input", "output").join(ids.select("row_id").distinct(), "row_id")
+    rows = ids.join(texts, "row_id").select("round", "category", "added", "idx", "input", "output")
+    rows.repartition("round").write.partitionBy("round").parquet(path)
+    return path
 
 
 def _two(n: int, key: str) -> tuple[int, int] | None:
@@ -93,29 +111,3 @@ def _two(n: int, key: str) -> tuple[int, int] | None:
 
     first, second = draw("first", n), draw("second", n - 1)
     return first, second + (second >= first)
-
-
-def _pairs(current: DataFrame, draws: dict[str, tuple[int, int]]) -> DataFrame:
-    wanted = F.lit(False)
-    first = F.lit(False)
-    for category, (one, two) in draws.items():
-        here = F.col("category") == category
-        wanted = wanted | (here & F.col("idx").isin(one, two))
-        first = first | (here & (F.col("idx") == one))
-    row = F.struct("input", "output")
-    sides = (
-        current.where(wanted)
-        .groupBy("category")
-        .agg(
-            F.max(F.when(first, row)).alias("one"),
-            F.max(F.when(~first, row)).alias("two"),
-        )
-    )
-    return sides.select(
-        F.col("category").alias("category_key"),
-        "category",
-        F.col("one.input").alias("q1"),
-        F.col("one.output").alias("a1"),
-        F.col("two.input").alias("q2"),
-        F.col("two.output").alias("a2"),
-    )

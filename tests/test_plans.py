@@ -94,13 +94,16 @@ def test_embedding_is_computed_once(spark):
     assert plan.count("ArrowEvalPython") == 1
 
 
-def test_round_reads_only_the_drawn_positions(spark, tmp_path):
-    path = str(tmp_path / "base")
-    rows = adapters.qa_docs(spark, SF).selectExpr("category", "row_id AS idx", "input", "output")
-    rows.write.parquet(path)
-    pairs = augment._pairs(spark.read.parquet(path), {"en": (3, 9), "de": (5, 1)})
-    pushed = next(line for line in plan_of(pairs).splitlines() if "PushedFilters" in line)
-    assert "EqualTo(category,en)" in pushed and "In(idx, [3,9])" in pushed
+def test_rounds_fetch_only_what_a_draw_can_fall_on(spark):
+    """The index holds no text, and a round's folder holds the drawn places only."""
+    rows = adapters.qa_docs(spark, SF)
+    index = augment.category_pool(rows, 1, skip_first=True).select("category", "idx", "row_id")
+    scans = [line for line in plan_of(index).splitlines() if "ReadSchema" in line]
+    assert scans and not any("text" in line for line in scans)
+    held = {r["category"]: r["n"] for r in index.groupBy("category").agg(F.count("*").alias("n")).collect()}
+    folder = augment._fetched(rows, index, held, 1, 4)
+    sizes = {r["round"]: r["n"] for r in spark.read.parquet(folder).groupBy("round").agg(F.count("*").alias("n")).collect()}
+    assert all(0 < n <= 2 * len(held) * (number + 1) for number, n in sizes.items()) and len(sizes) == 4
 
 
 def test_hot_key_is_spread_over_buckets(spark, no_broadcast):
