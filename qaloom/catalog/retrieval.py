@@ -65,12 +65,12 @@ def join_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "top_k",
-    f"""WITH {HITS} SELECT id, doc_id FROM hits WHERE rank = 1""",
+    f"""WITH {HITS} SELECT id, CAST(rank AS INTEGER) AS rank, doc_id FROM hits""",
 )
 def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.knn_join(
-        a.vector_queries(spark, sf_dir), a.vectors(spark, sf_dir), k=1
-    ).select("id", "doc_id")
+        a.vector_queries(spark, sf_dir), a.vectors(spark, sf_dir), k=4
+    ).select("id", "rank", "doc_id")
 
 
 @query(
@@ -121,7 +121,6 @@ def keyed_fallback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_fallback_join(a.template(spark, sf_dir), outputs, by="id")
 
 
-_SMALL = [f"c{i}" for i in range(standins.VECTOR_SIZE)]
 _WIDE = ", ".join(
     f"coalesce(max(CASE WHEN e.slot = {i} THEN e.value END), max(t.c{i})) AS c{i}"
     for i in range(standins.VECTOR_SIZE)
@@ -140,5 +139,4 @@ _WIDE = ", ".join(
 def build_submission_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = range_index(a.table(spark, sf_dir, "benchmark"), "item_id")
     outputs = items.select(F.col("position").alias("row_id"), F.col("text").alias("output"))
-    template = a.template(spark, sf_dir).select("row_id", "id", *_SMALL)
-    return build_submission(outputs, template, standins.embed)
+    return build_submission(outputs, a.template(spark, sf_dir), standins.embed)

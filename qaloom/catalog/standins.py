@@ -12,7 +12,7 @@ from collections import Counter
 
 from qaloom.schemas import ANSWER_MARKER, RUBRIC_MARKERS
 
-VECTOR_SIZE = 16
+VECTOR_SIZE = 64
 
 
 def _md5(text: str) -> str:

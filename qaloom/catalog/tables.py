@@ -132,20 +132,16 @@ def write_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "scan_vectors",
-    """SELECT vec_id AS doc_id, len(embedding) AS components,
-       round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total
-    FROM embeddings""",
+    _VECTORS,
 )
 def scan_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "vectors")
-    rows = a.vectors(spark, sf_dir).withColumn("page_content", F.lit(""))
-    writers.write_vectors(rows, path)
-    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    # Written beside the library, so that this reads what another tool has left.
+    rows = a.passages(spark, sf_dir).join(a.vectors(spark, sf_dir), "doc_id")
+    rows.select("doc_id", "page_content", "embedding").write.parquet(path)
     return readers.scan_vectors(spark, path).select(
-        "doc_id",
-        F.size("embedding").cast("long").alias("components"),
-        F.round(total, 6).alias("total"),
-    )
+        "doc_id", "page_content", F.posexplode("embedding").alias("component", "value")
+    ).withColumns({"component": F.col("component").cast("long"), "value": F.col("value").cast("double")})
 
 
 @query("write_submission", f"WITH {a.TEMPLATE} SELECT * EXCLUDE (row_id) FROM template")

@@ -37,8 +37,8 @@ def parse_score(value: Column) -> Column:
 
 
 def format_score(score: Column) -> Column:
-    """Score text with two decimals, as the files carry it."""
-    return F.format_string("%.2f", score)
+    """Score text with two decimals, as the files carry it; NULL stays NULL."""
+    return F.when(score.isNotNull(), F.format_string("%.2f", score))
 
 
 def text_length(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Entries of one distance block (float64): 32 MB.
 BLOCK_ENTRIES = 4_000_000
@@ -12,12 +13,15 @@ EXACT_PAIRS = 65_536
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """List column of equal-length vectors as a two-dimensional array."""
+    """List column of equal-length vectors as a two-dimensional array; other lengths are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
     if n == 0:
         return np.empty((0, 0))
+    sizes = pc.list_value_length(column)
+    if sizes.null_count or pc.count_distinct(sizes).as_py() > 1:
+        raise ValueError("vectors differ in length or are missing")
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 

@@ -61,7 +61,7 @@ def hash_index(
         position = F.when(~is_first, position - after_first.cast("bigint"))
         total = total - 1
     return placed.select(
-        F.nullif(F.col("_key"), F.lit(_NULL_KEY)).alias(key),
+        F.nullif(F.col("_key"), F.lit(_NULL_KEY)).cast(df.schema[key].dataType).alias(key),
         F.col("_id").alias(row_id),
         *[F.col(c) for c in (carry or [])],
         position.alias("idx"),

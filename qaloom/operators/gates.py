@@ -79,11 +79,15 @@ def require_question2(wide: DataFrame) -> DataFrame:
 def foreign_script_filter(
     df: DataFrame, scripts: list[str] | None = None, max_share: float = 0.0
 ) -> DataFrame:
-    """Drop rows whose output has more than ``max_share`` characters of the scripts."""
-    wanted = "|".join(SCRIPTS[s] for s in (scripts or ["kana"]))
+    """Drop rows whose output has more than ``max_share`` characters of the scripts.
+
+    By default the scripts are those of Japanese and English. A NULL output has no
+    characters and stays, whatever the share.
+    """
+    wanted = "|".join(SCRIPTS[s] for s in (scripts or ["kana", "latin"]))
     text = F.col("output")
     if max_share == 0.0:
-        return df.where(~text.rlike(wanted))
+        return df.where(F.coalesce(~text.rlike(wanted), F.lit(True)))
     share = F.regexp_count(text, F.lit(wanted)) / F.nullif(text_length(text), F.lit(0))
     return df.where(F.coalesce(share, F.lit(0.0)) <= max_share)
 

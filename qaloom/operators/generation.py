@@ -11,13 +11,11 @@ from qaloom.operators.responses import Parser
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Move rows apart by key where the input has fewer files than the cluster has cores.
+    """Move rows apart by key: bytes per split say little about the cost of a model call.
 
-    Bytes per file say little about the cost of a model call. With enough files the rows
-    stay where they were read.
+    Only the key and what the call needs should be in ``df``; prompts are built after it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(*keys) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(*keys)
 
 
 def generate_with_retry(
@@ -29,17 +27,20 @@ def generate_with_retry(
     on_fail: str = "drop",
     result_type: str = "string",
     carry: list[str] | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """Respond to each prompt until the response parses, at most ``max_attempts`` times.
 
     The attempts run inside one job, and the result is written once, so the model is
     never asked again by a later action. Only the prompt goes to Python; ``carry`` names
     further columns that stay beside it, for callers that want them without a join.
+    ``placed`` says that the rows have been moved apart before the prompt was built.
     Returns the keys, the carried and the parser's columns and ``attempt``. Rows that
     never parse are dropped, or kept with ``ok`` false under ``on_fail="keep"``.
     """
     kept = [*keys, *(carry or [])]
-    asked = spread(prompts.select(*kept, "prompt"), keys)
+    asked = prompts.select(*kept, "prompt")
+    asked = asked if placed else spread(asked, keys)
     answer = generated(F.col("prompt"), fn, parser.readable, max_attempts, result_type)
     rows = asked.select(*kept, answer.alias("_answer")).select(
         *kept,
@@ -56,11 +57,11 @@ def embed_text(df: DataFrame, column: str, fn: Embed) -> DataFrame:
 
 
 def correct_text(df: DataFrame, fn: Correct) -> DataFrame:
-    """Correct input and output and audit the change."""
+    """Correct input and output and audit the change; written once, so no later action asks again."""
     checked = df.withColumns(
         {
             "corrected_input": corrected(F.col("input"), fn),
             "corrected_output": corrected(F.col("output"), fn),
         }
     )
-    return correction_audit(checked)
+    return correction_audit(written(checked, "corrected"))

@@ -28,7 +28,7 @@ def category_partner(
     """One partner per row and repeat, drawn with replacement from the row's category.
 
     The pool lacks the category's first row unless ``skip_first`` is off; a row may
-    draw itself; an empty pool gives no pair.
+    draw itself; an empty pool gives no pair. Rows without a category are one category.
     """
     indexed = hash_index(qa, "category", "row_id", seed, skip_first)
     draws = indexed.select(
@@ -47,7 +47,8 @@ def category_partner(
     pool = indexed.where(F.col("idx").isNotNull()).select(
         "category", "idx", F.col("row_id").alias("partner_id")
     )
-    links = draws.join(pool, ["category", "idx"]).select("row_id", "draw_no", "partner_id")
+    same = draws["category"].eqNullSafe(pool["category"]) & (draws["idx"] == pool["idx"])
+    links = draws.join(pool, same).select("row_id", "draw_no", "partner_id")
     own = qa.select(
         "row_id", F.col(question).alias("q1"), F.col(answer).alias("a1"), "category"
     )
@@ -93,8 +94,8 @@ def category_sample_two(
         .where(F.col("_rank") <= 3)
     )
     if skip_first:
-        firsts = qa.groupBy("category").agg(F.min("row_id").alias("_first"))
-        drawn = drawn.join(firsts, "category").where(F.col("row_id") != F.col("_first"))
+        firsts = qa.groupBy(F.col("category").alias("_of")).agg(F.min("row_id").alias("_first"))
+        drawn = drawn.join(firsts, F.col("category").eqNullSafe(F.col("_of"))).where(F.col("row_id") != F.col("_first"))
     drawn = drawn.withColumn("slot", F.row_number().over(lowest)).where(F.col("slot") <= 2)
     picks = written_side(drawn.select("row_id", "slot"), "sample")
 

@@ -44,14 +44,17 @@ def build_rubric_prompt(
     return qa.select(*keys, text.alias("prompt"))
 
 
+def answer_prompt(instruction: str = t.ANSWER_INSTRUCTION, template: str = t.ANSWER) -> Column:
+    return fill(template, instruction=F.lit(instruction), question=F.col("question"))
+
+
 def build_answer_prompt(
     questions: DataFrame,
     key: str = "id",
     instruction: str = t.ANSWER_INSTRUCTION,
     template: str = t.ANSWER,
 ) -> DataFrame:
-    text = fill(template, instruction=F.lit(instruction), question=F.col("question"))
-    return questions.select(key, text.alias("prompt"))
+    return questions.select(key, answer_prompt(instruction, template).alias("prompt"))
 
 
 def build_context_prompt(
@@ -60,8 +63,12 @@ def build_context_prompt(
     key: str = "id",
     instruction: str = t.ANSWER_INSTRUCTION,
     template: str = t.CONTEXT,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """Retrieved context and question; a question without hits has an empty context."""
+    """Retrieved context and question; a question without hits has an empty context.
+
+    ``carry`` names columns of the questions that stay beside the prompt.
+    """
     text = fill(
         template,
         instruction=F.lit(instruction),
@@ -69,5 +76,5 @@ def build_context_prompt(
         question=F.col("question"),
     )
     return questions.join(contexts.select(key, "context"), key, "left").select(
-        key, text.alias("prompt")
+        key, *(carry or []), text.alias("prompt")
     )

@@ -114,19 +114,45 @@ def _holds(*markers: str) -> Callable[[str], bool]:
     return lambda text: all(marker in text for marker in markers)
 
 
-def _matches(pattern: str) -> Callable[[str], bool]:
-    return lambda text: re.search(pattern, text) is not None
+# The next two say what ``parse_labels`` and ``parse_rubric`` say in their ``ok``, by the
+# same splits, so that a response is asked for again exactly when it does not parse.
 
 
-_MARK = r"\s*[+-]?[0-9]+\s*"
-_OPTION_LINE = rf"[^\n]*{re.escape(OPTION_MARKER)}({'|'.join(OPTION_KEYS)})({re.escape(OPTION_MARKER)}[^\n]*)?\n"
+def _part(text: str | None, marker: str, n: int) -> str | None:
+    parts = [] if text is None else text.split(marker)
+    return parts[n] if n < len(parts) else None
 
-RUBRIC = Parser(parse_rubric, _matches("".join(re.escape(m) + _MARK for m in RUBRIC_MARKERS) + r"\Z"))
+
+# What a cast to a whole number strips: blanks and control characters.
+_TRIMMED = "".join(map(chr, [*range(0x21), 0x7F]))
+
+
+def _is_int(text: str | None) -> bool:
+    digits = "" if text is None else text.strip(_TRIMMED)
+    return re.fullmatch(r"[+-]?[0-9]+", digits) is not None and -(1 << 31) <= int(digits) < 1 << 31
+
+
+def _readable_labels(text: str) -> bool:
+    return (
+        _part(_part(text, "\n", 0), OPTION_MARKER, 1) in OPTION_KEYS
+        and _part(_part(text, "\n", 1), OPTION_MARKER, 1) in OPTION_KEYS
+        and _part(text, PAIR_MARKERS[0], 1) is not None
+        and _part(_part(text, "\n", 2), OPTION_ANSWER_MARKER, 1) is not None
+    )
+
+
+def _readable_rubric(text: str) -> bool:
+    first, second, third = RUBRIC_MARKERS
+    return (
+        _is_int(_part(_part(text, first, 1), second, 0))
+        and _is_int(_part(_part(text, second, 1), third, 0))
+        and _is_int(_part(text, third, 1))
+    )
+
+
+RUBRIC = Parser(parse_rubric, _readable_rubric)
 PAIR = Parser(parse_qa_pair, _holds(*PAIR_MARKERS))
-LABELS = Parser(
-    parse_labels,
-    _matches(rf"\A{_OPTION_LINE}{_OPTION_LINE}[^\n]*{re.escape(OPTION_ANSWER_MARKER)}"),
-)
+LABELS = Parser(parse_labels, _readable_labels)
 ANSWER = Parser(extract_answer, _holds(ANSWER_MARKER))
 FIRST_CHUNK = Parser(first_chunk_answer, lambda chunks: len(chunks) > 0)
 

@@ -19,11 +19,12 @@ def answer_questions(questions: DataFrame, fn: Generate) -> DataFrame:
     answer NULL, so that the question keeps its line in the submission. The position of
     the question (``row_id``), where there is one, stays with its answer.
     """
-    asked = prompts.build_answer_prompt(questions)
+    place = _place(questions)
+    asked = questions.select("id", *place, "question", prompts.answer_prompt().alias("prompt"))
     made = generate_with_retry(
-        asked, ["id"], fn, responses.ANSWER, max_attempts=1, on_fail="keep"
+        asked, ["id"], fn, responses.ANSWER, max_attempts=1, on_fail="keep", carry=[*place, "question"]
     )
-    return _answers(questions, made)
+    return _answers(made, place)
 
 
 def build_index(passages: DataFrame, fn: Embed, path: str | None = None) -> DataFrame:
@@ -42,34 +43,40 @@ def retrieve_and_answer(
 ) -> DataFrame:
     """``id, input, output``: first chunk of the response to context and question.
 
-    ``passages`` is a vector table as ``build_index`` gives it; ``fn`` returns each
+    Each different question is embedded and searched once, so repeated ids and repeated
+    questions keep their lines. ``passages`` is a vector table as ``build_index`` gives it; ``fn`` returns each
     response as a list of chunks. The hits are written before the texts join: they are
     the costly part, and their file size tells Spark whether to broadcast them, so the
     passage texts need not be shuffled.
     """
-    asked = written(embed_text(questions.select("id", "question"), "question", embed), "asked")
+    place = _place(questions)
+    keyed = questions.select("id", *place, "question", F.md5("question").alias("question_key"))
+    texts = keyed.where(F.col("question").isNotNull()).select(F.col("question_key").alias("id"), "question").distinct()
+    asked = written(embed_text(texts, "question", embed), "asked")
     hits = written(
         retrieval.knn_join(asked.select("id", "embedding"), passages.select("doc_id", "embedding"), k),
         "hits",
     )
-    contexts = retrieval.join_context(hits, passages)
+    contexts = retrieval.join_context(hits, passages).withColumnRenamed("id", "question_key")
     made = generate_with_retry(
-        prompts.build_context_prompt(questions, contexts),
+        prompts.build_context_prompt(keyed, contexts, "question_key", carry=["id", *place, "question"]),
         ["id"],
         fn,
         responses.FIRST_CHUNK,
         max_attempts=1,
         on_fail="keep",
         result_type="array<string>",
+        carry=[*place, "question"],
     )
-    return _answers(questions, made)
+    return _answers(made, place)
 
 
-def _answers(questions: DataFrame, made: DataFrame) -> DataFrame:
-    place = ["row_id"] if "row_id" in questions.columns else []
-    return questions.join(made.select("id", "answer"), "id").select(
-        *place, "id", F.col("question").alias("input"), F.col("answer").alias("output")
-    )
+def _place(questions: DataFrame) -> list[str]:
+    return ["row_id"] if "row_id" in questions.columns else []
+
+
+def _answers(made: DataFrame, place: list[str]) -> DataFrame:
+    return made.select(*place, "id", F.col("question").alias("input"), F.col("answer").alias("output"))
 
 
 def build_submission(

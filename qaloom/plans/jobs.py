@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from qaloom.functions.batch import Correct, Generate
-from qaloom.lineage import written
 from qaloom.operators import gates, pairing, prompts, reshape, responses, stats
-from qaloom.operators.generation import correct_text, generate_with_retry
+from qaloom.operators.generation import correct_text, generate_with_retry, spread
 from qaloom.operators.split import stratified_folds
 from qaloom.schemas import DEFAULT_SCORE, FOLDS, PAIR_ATTEMPTS, SCORE_ATTEMPTS
 
@@ -27,13 +26,14 @@ def score_rows(
     by = keys or ["row_id"]
     columns = [c for c in qa.columns if c not in ("average_score", "score_defaulted")]
     marks = generate_with_retry(
-        prompts.build_rubric_prompt(qa, columns),
+        prompts.build_rubric_prompt(spread(qa.select(*columns), by), columns),
         by,
         fn,
         responses.RUBRIC,
         max_attempts,
         on_fail="keep",
         carry=[c for c in columns if c not in by],
+        placed=True,
     )
     return marks.select(
         *columns,
@@ -95,8 +95,8 @@ def candidate_set(wide: DataFrame, score: Generate) -> tuple[DataFrame, DataFram
     The length gate comes before the model: the gates commute, the calls cost.
     """
     rows = gates.length_range(reshape.unpivot_answers(wide))
-    passed = gates.score_gate(score_rows(rows, score, ["row_id", "a_no", "q_no"]))
-    kept = written(passed, "candidates")
+    # Scoring has written the rows; the gate is a filter over that table.
+    kept = gates.score_gate(score_rows(rows, score, ["row_id", "a_no", "q_no"]))
     return kept, stats.dataset_report(kept)
 
 
@@ -104,12 +104,13 @@ def training_set(
     qa: DataFrame, seed: int | str, k: int = FOLDS, instruction: str | None = None
 ) -> DataFrame:
     """Training text and fold of each row; ``is_eval`` marks the held-out fold."""
+    folds = stratified_folds(qa, seed, k)  # the text is derived after the rows have moved
     with_text = (
-        reshape.instruction_text(qa)
+        reshape.instruction_text(folds)
         if instruction is None
-        else reshape.instruction_text(qa, instruction)
+        else reshape.instruction_text(folds, instruction)
     )
-    return stratified_folds(with_text, seed, k)
+    return with_text.select(*[c for c in with_text.columns if c not in ("fold", "is_eval")], "fold", "is_eval")
 
 
 def write_training_set(folds: DataFrame, path: str) -> None:

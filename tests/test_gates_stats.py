@@ -75,7 +75,9 @@ def test_foreign_scripts(spark):
     df = spark.createDataFrame(
         [("한국어만",), ("도배지が剥がれた",), ("방음은 soundproofing 이다",)], "output string"
     )
-    assert gates.foreign_script_filter(df).count() == 2
+    # Neither Japanese nor English by default; one of them on request.
+    assert gates.foreign_script_filter(df).count() == 1
+    assert gates.foreign_script_filter(df, ["kana"]).count() == 2
     kept = gates.foreign_script_filter(df, ["latin"], max_share=0.5).count()
     assert kept == 2
 
