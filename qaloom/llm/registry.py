@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Rows of one Arrow batch. Texts are long, and an executor holds a batch several times:
+# in and out, on both sides of the pipe, for every running task.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS`` where it is larger."""
+    rows = int(spark.conf.get(_BATCH))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,6 +37,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, in a session whose Arrow batches suit long texts."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
