@@ -31,6 +31,7 @@ SIZES = (1, 2, 3, 4)  # bytes of an n-gram
 SLOTS = 1 << 16
 SMOOTH = 0.5
 ROUNDS = 12
+SETTLED = 1e-3  # a document whose proportions move less is done
 LEAST_SHARE = 1e-4
 
 # Bytes of letters: ASCII letters and every byte of longer characters.
@@ -121,10 +122,19 @@ def mixture(like: np.ndarray, weight: np.ndarray, doc: np.ndarray, n: int, activ
     total = np.maximum(np.bincount(doc, weight, minlength=n), 1e-12)
     share = share * active
     share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
+    own, own_weight, own_doc, live = like, weight, doc, np.ones(n, bool)
     for _ in range(ROUNDS):
-        joint = like * share[doc]
-        joint *= (weight / np.maximum(joint.sum(axis=1), 1e-300))[:, None]
-        share = np.stack([np.bincount(doc, joint[:, k], minlength=n) for k in range(like.shape[1])], axis=1) / total[:, None]
+        joint = own * share[own_doc]
+        joint *= (own_weight / np.maximum(joint.sum(axis=1), 1e-300))[:, None]
+        new = np.stack([np.bincount(own_doc, joint[:, k], minlength=n) for k in range(like.shape[1])], axis=1) / total[:, None]
+        new[~live] = share[~live]
+        live &= np.abs(new - share).max(axis=1) > SETTLED
+        share = new
+        if not live.any():
+            break
+        going = live[own_doc]
+        if 2 * np.count_nonzero(going) < len(going):  # settled documents need no more rounds
+            own, own_weight, own_doc = own[going], own_weight[going], own_doc[going]
     evidence = np.log(np.maximum((like * share[doc]).sum(axis=1), 1e-300)) * weight
     return share, np.bincount(doc, evidence, minlength=n)
 
