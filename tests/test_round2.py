@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from qaloom.functions.text import format_score
 from qaloom.functions.vectors import matrix
-from qaloom.operators import gates, pairing, responses, split, stats
+from qaloom.operators import gates, pairing, responses, retrieval, split, stats
 from qaloom.operators.generation import correct_text, generate_with_retry
 from qaloom.plans import answering, jobs
 from qaloom.schemas import ANSWER_MARKER, OPTION_ANSWER_MARKER, OPTION_MARKER, PAIR_MARKERS, RUBRIC_MARKERS
@@ -124,3 +124,19 @@ def test_candidate_set_writes_the_rows_once(spark):
     score = lambda texts, attempt: [f"{ONE}3{TWO}4{THREE}5" for _ in texts]
     kept, _ = jobs.candidate_set(wide, score)
     assert kept.count() == 5
+
+
+def test_rows_into_the_last_top_k_do_not_grow_with_splits(spark):
+    queries = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, embedding array<float>")
+    passages = spark.range(4000).selectExpr("id AS doc_id", "array(float(id), float(id % 7)) AS embedding").repartition(200)
+    found = retrieval.knn_join(queries, passages, 3)
+    tasks = retrieval.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert f"Coalesce {tasks}" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 60
+
+
+def test_pruned_search_by_default_equals_the_plain_one(spark):
+    queries = spark.createDataFrame([(i, [float(i * 13), 1.0]) for i in range(20)], "id long, embedding array<float>")
+    passages = spark.range(900).selectExpr("id AS doc_id", "array(float(id % 300), float(id % 7)) AS embedding")
+    plain = sorted(map(tuple, retrieval.knn_join(queries, passages, 3).collect()))
+    assert sorted(map(tuple, retrieval.knn_join_pruned(queries, passages, 3, block_queries=4).collect())) == plain
