@@ -12,13 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from qaloom.functions.hashing import stable_hash
+from qaloom.lineage import written
 
 # Four hex digits: 65,536 buckets per key, hence at most 65,536 bucket counts in
 # one running sum, and 1e12 rows of one key make buckets of 15 million narrow rows.
 HASH_PREFIX = 4
-# Row ids are unique, so a range of this many ids never holds more rows.
-RANGE_WIDTH = 1 << 20
-
 _NULL_KEY = "\u0001missing"
 
 
@@ -96,15 +94,21 @@ def _hash_offsets(rows: DataFrame, key_order: bool) -> DataFrame:
     return buckets.join(starts, "_key")
 
 
-def range_index(df: DataFrame, row_id: str, width: int = RANGE_WIDTH) -> DataFrame:
-    """All columns plus ``position``: 0-based rank by a unique whole-number id."""
-    rows = df.withColumn("_bucket", F.floor(F.col(row_id) / width))
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
-    # One row per million ids.
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")
-    )
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(row_id)) - 1
-    placed = rows.withColumn("_rank", rank).join(offsets, "_bucket")
-    return placed.select(*df.columns, (F.col("_before") + F.col("_rank")).alias("position"))
+def range_index(df: DataFrame, row_id: str, width: int | None = None) -> DataFrame:
+    """All columns plus ``position``: 0-based rank by a unique id, dense or sparse.
+
+    Only the ids are ranged and written, so that counting and ranking see the same ranges.
+    The ranges follow a sample of the ids, so they hold about as many rows each whatever
+    the ids look like; one row per range reaches the running sum. ``width`` asks for about
+    so many rows in a range; by default the session's shuffle partitions decide.
+    """
+    ids = df.select(F.col(row_id).alias("_id"))
+    ranged = ids.repartitionByRange("_id") if width is None else ids.repartitionByRange(-(-ids.count() // width) or 1, "_id")
+    ids = written(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ids.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("_id")) - 1
+    placed = ids.withColumn("_rank", rank).join(offsets, "_range")
+    positions = placed.select("_id", (F.col("_before") + F.col("_rank")).alias("position"))
+    return df.join(positions, df[row_id] == positions["_id"]).select(*[df[c] for c in df.columns], "position")

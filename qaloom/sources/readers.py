@@ -36,6 +36,8 @@ def _present(column: Column) -> Column:
 def with_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
     """Add each row's position in file order (file path, then place in the file).
 
+    Numbers inside a path count as numbers: ``part-2`` comes before ``part-10``.
+
     ``scan`` must come straight from a file reader. Rows of one split are read in order
     by one task, so the increasing id minus the split's lowest one is the place in the
     split. The tagged rows are written once, which settles the ids and turns the text
@@ -54,7 +56,15 @@ def with_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
     splits = tagged.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("n"), F.min("_seen").alias("_low")
     )
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    # Digits padded to one length, so that paths compare as their numbers do.
+    natural = F.array_join(
+        F.transform(
+            F.regexp_extract_all("_file", F.lit("[0-9]+|[^0-9]+"), 0),
+            lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 40, "0")).otherwise(x),
+        ),
+        "",
+    )
+    before = Window.orderBy(natural, "_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select(
         F.col("_file").alias("_f"),
         F.col("_block").alias("_b"),
@@ -131,10 +141,14 @@ def scan_scored_jsonl(spark: SparkSession, path: str, row_id: bool = False) -> D
 
 
 def scan_passages(
-    spark: SparkSession, path: str, header_prefix: bool = True, header: str = PASSAGE_HEADER
+    spark: SparkSession,
+    path: str,
+    header_prefix: bool = True,
+    header: str = PASSAGE_HEADER,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Passage CSV: ``doc_id, page_content``; the text starts with ``<header>: `` if asked."""
-    rows = with_row_id(_csv(spark, path, multi_line=True), "doc_id")
+    rows = with_row_id(_csv(spark, path, multi_line), "doc_id")
     text = F.coalesce(F.col(f"`{header}`"), F.lit(""))
     if header_prefix:
         text = F.concat(F.lit(f"{header}: "), text)

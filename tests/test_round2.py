@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from qaloom.functions.text import format_score
 from qaloom.functions.vectors import matrix
+from qaloom.operators.dense import range_index
 from qaloom.operators import gates, pairing, responses, retrieval, split, stats
 from qaloom.operators.generation import correct_text, generate_with_retry
 from qaloom.plans import answering, jobs
 from qaloom.schemas import ANSWER_MARKER, OPTION_ANSWER_MARKER, OPTION_MARKER, PAIR_MARKERS, RUBRIC_MARKERS
 from qaloom.sources import writers
+from qaloom.sources.readers import scan_passages
 
 Q, A = PAIR_MARKERS
 ONE, TWO, THREE = RUBRIC_MARKERS
@@ -140,3 +142,16 @@ def test_pruned_search_by_default_equals_the_plain_one(spark):
     passages = spark.range(900).selectExpr("id AS doc_id", "array(float(id % 300), float(id % 7)) AS embedding")
     plain = sorted(map(tuple, retrieval.knn_join(queries, passages, 3).collect()))
     assert sorted(map(tuple, retrieval.knn_join_pruned(queries, passages, 3, block_queries=4).collect())) == plain
+
+
+def test_sparse_ids_get_dense_positions(spark):
+    rows = spark.range(5000).selectExpr("xxhash64(id) AS row_id", "id AS other")
+    got = sorted((r.row_id, r.position) for r in range_index(rows, "row_id").collect())
+    assert [p for _, p in got] == list(range(5000))
+
+
+def test_part_numbers_count_as_numbers(spark, tmp_path):
+    for part in (10, 2, 100000, 99999):
+        (tmp_path / f"part-{part}.csv").write_text(f"0\np{part}\n")
+    rows = scan_passages(spark, str(tmp_path), header_prefix=False, multi_line=False).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.page_content) for r in rows] == [(0, "p2"), (1, "p10"), (2, "p99999"), (3, "p100000")]
