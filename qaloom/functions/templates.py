@@ -1,4 +1,12 @@
-"""Default prompt texts. Callers may pass their own with the same slots."""
+"""Default prompt texts. Callers may pass their own with the same slots.
+
+What the parsers look for comes from ``schemas``; the rest is this project's wording.
+"""
+
+from qaloom.schemas import ANSWER_MARKER, PAIR_MARKERS, QUESTION_MARKER, RUBRIC_MARKERS
+
+_Q, _A = PAIR_MARKERS
+_CORRECT, _COMPLETE, _NATURAL = RUBRIC_MARKERS
 
 OPTION_SYSTEM = (
     "You are a building expert. Answer in exactly three lines.\n"
@@ -7,23 +15,21 @@ OPTION_SYSTEM = (
     "Line 3: '3. Q: ' and one question that joins Q1 and Q2, then ' A: ' and its answer."
 )
 OPTION_USER = (
-    "Q1. {q1}\nQ2. {q2}\nOptions\n"
+    "First question (Q1): {q1}\nSecond question (Q2): {q2}\nThe options\n"
     "A1. {a1}\nA2. {a2}\nA3. {a3}\nA4. {a4}\nA5. {a5}\n"
 )
 PAIR = (
     "You are a building expert. Write one new question and its answer that draw on both "
     "pairs below. Start the question with 'Q: ' and the answer, on the next line, with 'A: '.\n"
-    "Q1: {q1}\nA1: {a1}\n\nQ2: {q2}\nA2: {a2}\n"
+    "One pair asks: {q1}\nand is answered: {a1}\n\nThe other pair asks: {q2}\nand is answered: {a2}\n"
 )
 RUBRIC = (
     "You are a building expert. Give the answer below a whole mark from 0 to 5 for each line.\n"
-    "- 답변의 정확성(0~5점): how correct it is\n"
-    "- 답변의 완성도(0~5점): how complete it is\n"
-    "- 답변의 자연스러움(0~5점): how natural it reads\n"
-    "Q: {question}\nA: {answer}\n"
+    + f"{_CORRECT}how correct it is{_COMPLETE}how complete it is{_NATURAL}how natural it reads\n"
+    + f"{_Q}{{question}}{_A}{{answer}}\n"
 )
 ANSWER_INSTRUCTION = "You are a building expert. Answer the question below, without links."
-ANSWER = "{instruction}\n\n### 질문: {question}\n### 답변: "
+ANSWER = f"{{instruction}}\n\n{QUESTION_MARKER}{{question}}\n{ANSWER_MARKER}"
 CONTEXT = "Use these passages.\n{context}\n" + ANSWER
 TRAINING_INSTRUCTION = "You are a building expert. Answer the question below."
-TRAINING = "{instruction}\n\n### 질문: {input}\n### 답변: {output}"
+TRAINING = f"{{instruction}}\n\n{QUESTION_MARKER}{{input}}\n{ANSWER_MARKER}{{output}}"

@@ -34,6 +34,7 @@ PAIR_MARKERS = ["Q: ", "\nA: "]
 OPTION_MARKER = ". "
 OPTION_ANSWER_MARKER = " A: "
 OPTION_KEYS = ["A1", "A2", "A3", "A4", "A5"]
+QUESTION_MARKER = "### 질문: "
 ANSWER_MARKER = "### 답변: "
 DROP_MARKERS = ["**", "책임소재", "-"]
 PASSAGE_FORMAT = "###질문: {input} ###답변: {output}"
