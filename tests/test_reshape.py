@@ -82,7 +82,7 @@ def test_union_keeps_duplicates(spark, qa):
 
 def test_missing_values_in_prompts(spark):
     text = prompts.build_option_prompt(wide(spark)).orderBy("row_id").collect()[1]["prompt"]
-    assert "Q2. \n" in text and "A2. \n" in text and "A5. b5" in text
+    assert "(Q2): \n" in text and "A2. \n" in text and "A5. b5" in text
     messages = prompts.build_option_messages(wide(spark)).orderBy("row_id").first()["messages"]
     assert [m["role"] for m in messages] == ["system", "user"]
 
