@@ -3,9 +3,11 @@
 Every language is a model of hashed character n-grams of words, counted over all labelled
 documents outside the held-out third. A document is a mixture: each of its words comes
 from one language, and expectation-maximisation finds the proportions from the words'
-n-gram likelihoods. The set of languages is the one with the best penalised likelihood
-(half a log of the word count per language): starting from all, the language whose
-removal hurts least is dropped as long as the penalised likelihood does not fall.
+n-gram likelihoods. The set of languages is chosen by penalised likelihood (half a log of
+the word count per language): starting from all, the language with the smallest share is
+dropped until that would make the penalised likelihood fall. Other removals are not tried,
+and each maximisation ends after ``ROUNDS`` rounds or at ``SETTLED``, so the set of a mixed
+document can differ from the best one.
 
 Counting is one pass with partial sums per task, then one row per language and n-gram
 slot; the model has ``SLOTS`` numbers per language. Scoring is one pass without shuffle.
