@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.llm import bpe, langmix, lines, passages, quality, simhash, suffixes, surrogates, tiling, toxicity
+from qaloom.llm import bpe, langmix, lines, passages, quality, simhash, suffixes, surrogates, tiling, toxicity, warc
 from qaloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -63,3 +63,26 @@ def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_passages")
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(table(spark, sf_dir, "documents"))
+
+
+# The 160 bits of a SHA-1 in groups of twenty, each as four letters of base 32.
+WARC_SQL = """
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS body FROM pages
+), digests AS (
+    SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS h,
+           max(page_id) OVER (PARTITION BY sha1(body)) AS top
+    FROM payloads
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM digests
+"""
+
+
+@query("op11_warc", WARC_SQL)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
