@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.llm import bpe, langmix, lines, passages, quality, simhash, suffixes, surrogates, tiling, toxicity, warc
+from qaloom.llm import alignment, bpe, langmix, lines, passages, quality, simhash, suffixes, surrogates, tiling, toxicity, warc
 from qaloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -86,3 +86,9 @@ FROM digests
 @query("op11_warc", WARC_SQL)
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.aligned(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
