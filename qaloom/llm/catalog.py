@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.llm import alignment, bpe, langmix, lines, passages, quality, simhash, suffixes, surrogates, tiling, toxicity, warc
+from qaloom.llm import alignment, bpe, collocations, langmix, lines, passages, quality, simhash, suffixes, surrogates, tiling, toxicity, warc
 from qaloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -92,3 +92,8 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return alignment.aligned(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op13_collocations")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
