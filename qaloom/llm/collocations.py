@@ -54,7 +54,7 @@ _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execu
 
 
 @contextmanager
-def wide_batches(spark: SparkSession, rows: int = 1 << 17, size: int = 16 << 20):
+def wide_batches(spark: SparkSession, rows: int = 1 << 15, size: int = 4 << 20):
     """Arrow batches bounded by bytes, for relations of narrow rows."""
     before = {c: spark.conf.get(c) for c in (_ROWS, _BYTES)}
     spark.conf.set(_ROWS, str(rows))
