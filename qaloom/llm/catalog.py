@@ -94,6 +94,43 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
 
-@query("op13_collocations")
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), word_lists AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), places AS (
+    SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM word_lists
+), spans AS (
+    SELECT lang, ws, i, unnest(range(1, 6)) AS k FROM places
+), counts AS (
+    SELECT lang, k, ws[i:i + k - 1] AS part, count(*) AS a FROM spans WHERE i + k - 1 <= len(ws) GROUP BY ALL
+), totals AS (
+    SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang
+), frequent AS (
+    SELECT lang, k, part, array_to_string(part, ' ') AS phrase, a FROM counts WHERE a >= 100
+), kept AS (
+    SELECT * FROM frequent c WHERE k > 1 AND NOT EXISTS (
+        SELECT 1 FROM frequent g WHERE g.lang = c.lang AND g.k > c.k AND 100 * g.a >= 100 * c.a
+            AND contains(' ' || g.phrase || ' ', ' ' || c.phrase || ' '))
+), steps AS (
+    SELECT *, unnest(range(1, k)) AS cut FROM kept
+), cuts AS (
+    SELECT s.lang, s.phrase, s.cut, s.a, x.a AS l, y.a AS r, t.n,
+           CAST(1000::HUGEINT * s.a * t.n // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+    FROM steps s JOIN totals t ON t.lang = s.lang
+    JOIN frequent x ON x.lang = s.lang AND x.phrase = array_to_string(s.part[1:s.cut], ' ')
+    JOIN frequent y ON y.lang = s.lang AND y.phrase = array_to_string(s.part[s.cut + 1:s.k], ' ')
+), best AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATIONS_SQL)
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mined(table(spark, sf_dir, "documents"))
