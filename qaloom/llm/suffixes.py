@@ -368,11 +368,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, rows_at_once: int = B
 
 
 def digest(result: DataFrame) -> DataFrame:
-    """Counts and hash of what ``without_repeats`` left."""
+    """Counts and hash of what ``without_repeats`` left, and whether it removed anything."""
     return result.select(
         "doc_id",
         "n_bytes",
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("spans") > 0).alias("has_repeats"),
     )

@@ -22,7 +22,7 @@ def brute(rows, length):
                 gone[p : p + length] = [True] * length
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         kept = bytes(b for b, g in zip(d, gone) if not g)
-        out.append((i, len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest(), any(gone)))
     return sorted(out, key=repr)
 
 
@@ -46,6 +46,18 @@ def texts(seed):
     return out
 
 
+def test_strings_of_400_bytes_and_a_very_long_text(spark):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefé") for _ in range(draw.randint(1, 8)))
+    passage = " ".join(word() for _ in range(300))
+    own = [" ".join(word() for _ in range(60)) for _ in range(6)]
+    long = " ".join(word() for _ in range(8000))
+    texts = [passage, own[0] + passage[:900], own[1] + passage[100:480] + own[2], passage[300:], own[3], long + passage[:450], long[5000:5400], long[9000:9300], "é" * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = digest(without_repeats(docs)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(list(enumerate(texts)), 400)
+
+
 @pytest.mark.parametrize("seed, length, rows", [(1, 40, 20_000), (2, 40, 3), (3, 64, 20_000), (4, 100, 5), (5, 17, 20_000)])
 def test_against_every_string(spark, seed, length, rows):
     data = list(enumerate(texts(seed)))
