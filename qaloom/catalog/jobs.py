@@ -21,6 +21,7 @@ from qaloom.lineage import scratch_path
 from qaloom.operators import prompts, responses
 from qaloom.operators.generation import generate_with_retry
 from qaloom.plans import answering, augment, jobs
+from qaloom.schemas import AUGMENT_ROUNDS
 from qaloom.streaming.gates import stream_quality_gates
 
 
@@ -150,54 +151,43 @@ def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-ROUNDS = 12
-
-
 def _augment_sql() -> str:
-    steps = [a.QA_DOCS, sql_pool("qa_docs", SEED)]
-    made: list[str] = []
-    for r in range(ROUNDS):
-        before = "".join(
-            f" UNION ALL SELECT category, idx, input, output FROM made_{b}" for b in range(r)
-        )
-        one = a.sql_draw(f"md5('{r}|' || category || '|{SEED}|first')", "n")
-        two = a.sql_draw(f"md5('{r}|' || category || '|{SEED}|second')", "n - 1")
-        steps.append(f"""set_{r} AS (
-  SELECT category, idx, input, output FROM pool{before}),
-drawn_{r} AS (
-  SELECT category, n, {one} AS i, {two} AS j
-  FROM (SELECT category, count(*) AS n FROM set_{r} GROUP BY category) WHERE n >= 2),
-prompt_{r} AS (
-  SELECT category, n, {PAIR_PROMPT_SQL} AS p FROM (
-    SELECT d.category, d.n, x.input AS q1, x.output AS a1, y.input AS q2, y.output AS a2
-    FROM drawn_{r} d
-    JOIN set_{r} x ON x.category = d.category AND x.idx = d.i
-    JOIN set_{r} y ON y.category = d.category
-      AND y.idx = d.j + CAST(d.j >= d.i AS INTEGER))),
-draft_{r} AS (
-  SELECT category, n, {_QUESTION} AS input, {_ANSWER} AS output FROM prompt_{r} WHERE {_OK}),
-rubric_{r} AS (
-  SELECT *, {RUBRIC_PROMPT_SQL} AS p FROM draft_{r} WHERE length(output) BETWEEN 100 AND 300),
-made_{r} AS (
-  SELECT {r} AS round, category, n AS idx, input, output, {standins.sql_score("p")} AS average_score
-  FROM rubric_{r} WHERE {standins.sql_score("p")} >= 3)""")
-        made.append(
-            "SELECT round, category, idx, input, output, round(average_score, 6) AS average_score "
-            f"FROM made_{r}"
-        )
-    return "WITH " + ",\n".join(steps) + "\n" + "\nUNION ALL ".join(made)
+    """One recursion step is one round of all categories; a row carries what its category has made."""
+    digest = lambda what: f"md5((round + 1) || '|' || category || '|{SEED}|{what}')"
+    text = lambda alias, at, column: (
+        f"CASE WHEN {at} < s.base THEN {alias}.{column} ELSE s.made[{at} - s.base + 1].{column} END"
+    )
+    return f"""WITH RECURSIVE {a.QA_DOCS}, {sql_pool("qa_docs", SEED)},
+state AS (
+  SELECT -1 AS round, category, count(*) AS base,
+    CAST([] AS STRUCT(round INTEGER, idx BIGINT, input VARCHAR, output VARCHAR, average_score DOUBLE)[]) AS made
+  FROM pool GROUP BY category
+  UNION ALL
+  SELECT round + 1, category, base,
+    CASE WHEN drafted AND length(output) BETWEEN 100 AND 300 AND {standins.sql_score("p")} >= 3
+      THEN list_append(made, {{'round': CAST(round + 1 AS INTEGER), 'idx': n, 'input': input, 'output': output,
+        'average_score': round({standins.sql_score("p")}, 6)}})
+      ELSE made END
+  FROM (SELECT *, {RUBRIC_PROMPT_SQL} AS p FROM (
+    SELECT * EXCLUDE (p), {_OK} AS drafted, {_QUESTION} AS input, {_ANSWER} AS output FROM (
+      SELECT *, {PAIR_PROMPT_SQL} AS p FROM (
+        SELECT s.round, s.category, s.base, s.made, s.n,
+          {text("x", "s.i", "input")} AS q1, {text("x", "s.i", "output")} AS a1,
+          {text("y", "s.j", "input")} AS q2, {text("y", "s.j", "output")} AS a2
+        FROM (
+          SELECT *, j0 + CAST(j0 >= i AS INTEGER) AS j FROM (
+            SELECT *, {a.sql_draw(digest("first"), "n")} AS i, {a.sql_draw(digest("second"), "n - 1")} AS j0
+            FROM (SELECT *, base + len(made) AS n FROM state WHERE round < {AUGMENT_ROUNDS - 1}) WHERE n >= 2)) s
+        LEFT JOIN pool x ON x.category = s.category AND x.idx = s.i
+        LEFT JOIN pool y ON y.category = s.category AND y.idx = s.j)))))
+SELECT unnest(made, recursive := true), category FROM state WHERE round = {AUGMENT_ROUNDS - 1}"""
 
 
 @query("augment_rounds", _augment_sql())
 def augment_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score_out(
         augment.augment_rounds(
-            a.qa_docs(spark, sf_dir),
-            standins.write_pair,
-            standins.score,
-            SEED,
-            rounds=ROUNDS,
-            categories=a.LANGS,
+            a.qa_docs(spark, sf_dir), standins.write_pair, standins.score, SEED, categories=a.LANGS
         )
     )
 

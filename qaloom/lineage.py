@@ -28,6 +28,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/qaloom/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the store that Spark means by ``path`` has something there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table written to ``path`` was committed as a whole."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back: later steps start from the files."""
     spark = df.sparkSession

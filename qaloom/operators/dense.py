@@ -4,7 +4,8 @@ A key may hold a third of all rows, so no window runs over a whole key. Rows are
 cut into buckets that follow the wanted order (a hash prefix, or a range of row
 ids); ``row_number`` runs inside a bucket, and each bucket adds the number of rows
 in the buckets before it. Both sides of that last join are spread by bucket, and
-the large side is already partitioned that way by the window.
+the large side is already partitioned that way by the window. Where only some positions
+are wanted, ``RankDirectory`` finds their rows and ranks no others.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from qaloom.functions.hashing import stable_hash
-from qaloom.lineage import written
+from qaloom.lineage import written, written_side
 
 # Four hex digits: 65,536 buckets per key, hence at most 65,536 bucket counts in
 # one running sum, and 1e12 rows of one key make buckets of 15 million narrow rows.
@@ -94,6 +95,73 @@ def _hash_offsets(rows: DataFrame, key_order: bool) -> DataFrame:
     return buckets.join(starts, "_key")
 
 
+class RankDirectory:
+    """Positions of a key's hash order, found without indexing the key's rows.
+
+    The directory has one row per key and hash bucket: the rows in it and before it, which
+    is all that a draw needs to know. It is counted in one pass with partial sums and
+    written, so that every draw shares it. ``locate`` then ranks the rows of the buckets
+    that were asked for and no others. Positions are those of ``hash_index``.
+    """
+
+    def __init__(self, df: DataFrame, key: str, row_id: str, seed: int | str, skip_first: bool = False):
+        self.key, self.row_id = key, row_id
+        digest = stable_hash(F.col(row_id), seed)
+        self.kind = df.schema[key].dataType
+        self.rows = df.select(
+            F.coalesce(F.col(key).cast("string"), F.lit(_NULL_KEY)).alias("_key"),
+            F.col(row_id).alias("_id"),
+            digest.alias("_hash"),
+            F.substring(digest, 1, HASH_PREFIX).alias("_bucket"),
+        )
+        counts = self.rows.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("low"))
+        whole = Window.partitionBy("_key")
+        counts = counts.withColumn("_skipped", F.min("low").over(whole) if skip_first else F.lit(None).cast(df.schema[row_id].dataType))
+        lost = F.coalesce(F.col("_bucket") == F.substring(stable_hash(F.col("_skipped"), seed), 1, HASH_PREFIX), F.lit(False))
+        counts = counts.withColumn("n", F.col("n") - lost.cast("bigint"))
+        before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        self.table = written(
+            counts.select(
+                "_key",
+                "_bucket",
+                "n",
+                "_skipped",
+                F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"),
+                F.sum("n").over(whole).alias("_total"),
+            ),
+            "rank-directory",
+        )
+
+    def sizes(self) -> DataFrame:
+        """``key, pool_n`` of every key."""
+        return self.table.groupBy("_key").agg(F.max("_total").alias("pool_n")).select(self._named(F.col("_key")), "pool_n")
+
+    def _named(self, column):
+        return F.nullif(column, F.lit(_NULL_KEY)).cast(self.kind).alias(self.key)
+
+    def locate(self, positions: DataFrame) -> DataFrame:
+        """``positions`` (the key, ``idx`` and what else they have) with the id of the row there.
+
+        A position beyond the key's rows gives nothing. Buckets hold about as many rows
+        each, so a position's bucket is met through a grid of as many cells as buckets.
+        """
+        cells = 16**HASH_PREFIX
+        width = F.expr(f"greatest(1, (_total + {cells - 1}) div {cells})")
+        filled = self.table.where("n > 0").withColumn("_width", width)
+        grid = filled.withColumn("_cell", F.explode(F.expr("sequence(_before div _width, (_before + n - 1) div _width)")))
+        asked = positions.withColumn("_key", F.coalesce(F.col(self.key).cast("string"), F.lit(_NULL_KEY)))
+        widths = F.broadcast(filled.groupBy("_key").agg(F.max("_width").alias("_w")))  # one row per key
+        asked = asked.join(widths, "_key").withColumn("_cell", F.expr("idx div _w")).drop("_w")
+        met = asked.join(grid, ["_key", "_cell"]).where("idx >= _before and idx < _before + n")
+        met = met.select(*positions.columns, "_key", "_bucket", "_skipped", (F.col("idx") - F.col("_before")).alias("_rank"))
+        met = written(met, "rank-positions")
+        buckets = written_side(met.select("_key", "_bucket", "_skipped").distinct(), "rank-buckets")
+        drawn = self.rows.join(buckets, ["_key", "_bucket"]).where("_skipped is null or _id <> _skipped")
+        inside = Window.partitionBy("_key", "_bucket").orderBy("_hash", "_id")
+        ranked = drawn.withColumn("_rank", (F.row_number().over(inside) - 1).cast("bigint")).select("_key", "_bucket", "_rank", "_id")
+        return met.join(ranked, ["_key", "_bucket", "_rank"]).select(*positions.columns, F.col("_id").alias(self.row_id))
+
+
 def range_index(df: DataFrame, row_id: str, width: int | None = None) -> DataFrame:
     """All columns plus ``position``: 0-based rank by a unique id, dense or sparse.
 

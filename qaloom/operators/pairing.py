@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from qaloom.functions.hashing import hash_draw, stable_hash
-from qaloom.lineage import BROADCAST_ROWS, written_side
-from qaloom.operators.dense import hash_index
+from qaloom.lineage import BROADCAST_ROWS, written, written_side
+from qaloom.operators.dense import RankDirectory, hash_index
 from qaloom.operators.gates import category_in
 from qaloom.operators.reshape import constant_labels
 from qaloom.schemas import CATEGORIES, MINORITY_CATEGORIES, NEGATIVE_DRAWS
@@ -147,19 +147,33 @@ def negative_pairs(
             listed, (F.col("c2") + (F.col("c2") >= F.col("c1")).cast("int")).cast("int")
         ).alias("output_category"),
     )
-    known = category_in(qa, names)
-    # At most one row per listed category: the list bounds the broadcast.
-    sizes = F.broadcast(known.groupBy("category").agg(F.count(F.lit(1)).alias("pool_n")))
-    indexed = hash_index(known, "category", "row_id", seed).select("category", "idx", "row_id")
+    # One directory serves both sides: sizes to draw from, then the drawn rows' ids. Only
+    # the hash buckets that a draw falls into are ranked.
+    directory = RankDirectory(category_in(qa, names), "category", "row_id", seed)
+    sizes = F.broadcast(directory.sizes())  # at most one row per listed category
+    picks = chosen.select(
+        "draw_id",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(side).alias("side"), F.col(f"{side}_category").alias("category"))
+                    for side in ("input", "output")
+                ]
+            )
+        ),
+    ).join(sizes, "category")
+    positions = picks.select(
+        "draw_id",
+        "side",
+        "category",
+        F.when(F.col("side") == "input", drawn("input row", F.col("pool_n")))
+        .otherwise(drawn("output row", F.col("pool_n")))
+        .alias("idx"),
+    )
+    located = written(directory.locate(positions), "negative-rows")
 
     def row_of(side: str) -> DataFrame:
-        picks = chosen.select("draw_id", F.col(f"{side}_category").alias("category"))
-        sized = picks.join(sizes, "category").select(
-            "draw_id", "category", drawn(f"{side} row", F.col("pool_n")).alias("idx")
-        )
-        return indexed.join(_small(sized, n), ["category", "idx"]).select(
-            "draw_id", F.col("row_id").alias(f"{side}_row")
-        )
+        return located.where(F.col("side") == side).select("draw_id", F.col("row_id").alias(f"{side}_row"))
 
     pairs = _small(row_of("input").join(row_of("output"), "draw_id"), n)
     # Each text side is read once past the broadcast ids; only the drawn rows move.

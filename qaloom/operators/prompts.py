@@ -32,16 +32,22 @@ def build_option_messages(
     return wide.select("row_id", messages.alias("messages"))
 
 
+def pair_prompt(template: str = t.PAIR) -> Column:
+    return fill(template, **{c: F.col(c) for c in ("q1", "a1", "q2", "a2")})
+
+
 def build_pair_prompt(pairs: DataFrame, keys: list[str], template: str = t.PAIR) -> DataFrame:
-    slots = {c: F.col(c) for c in ("q1", "a1", "q2", "a2")}
-    return pairs.select(*keys, fill(template, **slots).alias("prompt"))
+    return pairs.select(*keys, pair_prompt(template).alias("prompt"))
+
+
+def rubric_prompt(template: str = t.RUBRIC) -> Column:
+    return fill(template, question=F.col("input"), answer=F.col("output"))
 
 
 def build_rubric_prompt(
     qa: DataFrame, keys: list[str], template: str = t.RUBRIC
 ) -> DataFrame:
-    text = fill(template, question=F.col("input"), answer=F.col("output"))
-    return qa.select(*keys, text.alias("prompt"))
+    return qa.select(*keys, rubric_prompt(template).alias("prompt"))
 
 
 def answer_prompt(instruction: str = t.ANSWER_INSTRUCTION, template: str = t.ANSWER) -> Column:

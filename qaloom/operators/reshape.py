@@ -49,7 +49,11 @@ def expand_labels(wide: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = labels.where("ok").select(
         "row_id", "k1", "k2", F.col("q3").alias("new_question"), F.col("a3").alias("new_answer")
     )
-    rows = wide.join(chosen, "row_id")
+    return label_records(wide.join(chosen, "row_id"))
+
+
+def label_records(rows: DataFrame) -> DataFrame:
+    """The three records of wide rows that carry ``k1, k2, new_question, new_answer``."""
     records = F.array(
         F.struct(
             F.lit(1).alias("label_no"),

@@ -4,14 +4,29 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from qaloom.functions.batch import Generate
-from qaloom.lineage import scratch_path, written
-from qaloom.operators import gates
-from qaloom.operators.stats import category_pool
-from qaloom.plans.jobs import score_rows, write_pairs
-from qaloom.schemas import AUGMENT_ROUNDS, CATEGORIES
+from qaloom.lineage import finished, scratch_path, written, written_side
+from qaloom.operators import gates, prompts, responses
+from qaloom.operators.dense import RankDirectory
+from qaloom.operators.generation import Answers
+from qaloom.schemas import (
+    AUGMENT_ROUNDS,
+    CATEGORIES,
+    DEFAULT_SCORE,
+    MAX_LENGTH,
+    MIN_LENGTH,
+    MIN_SCORE,
+    PAIR_ATTEMPTS,
+    SCORE_ATTEMPTS,
+)
+
+# Rounds whose possible draws are fetched from the base set in one pass. A window costs one
+# pass over the ids and one over the texts, and about this number squared of rows for each
+# listed category.
+WINDOW = 50
 
 
 def augment_rounds(
@@ -21,6 +36,8 @@ def augment_rounds(
     seed: int | str,
     rounds: int = AUGMENT_ROUNDS,
     categories: list[str] | None = None,
+    window: int = WINDOW,
+    folder: str | None = None,
 ) -> DataFrame:
     """Generated rows ``round, category, idx, input, output, average_score``.
 
@@ -29,75 +46,122 @@ def augment_rounds(
     go in one job per round: a category draws only from its own rows, so this equals
     taking them one after the other.
 
-    Where a draw falls depends on how many rows earlier rounds have added, and that is a
-    number between none and one per round. So all places a draw can fall on are known
-    beforehand: they are looked up in an index of ids and categories, and their texts are
-    fetched from the source in one pass and written by round. A round reads its own few
-    rows and never the base set. The driver keeps the generated rows, one per round and
-    listed category at most, each within the length gate.
+    The set is the base and the round table, a folder of written rounds on shared storage.
+    Draw, texts, model calls and gates of a round are one job that ends in its folder; the
+    driver holds counts and positions: how many rows a category has, and which round added
+    the row at a position. Where a draw falls depends only on those counts, so the places
+    that the draws of the next ``window`` rounds can fall on are known beforehand; they are
+    located in the rank directory, and their texts fetched from the base in one pass. A
+    round reads those few rows and the rounds it draws from, never the base set.
+
+    Rounds that ``folder`` already holds are taken as they are, so a job that was killed
+    goes on where it stopped.
     """
     names = categories or CATEGORIES
     spark = qa.sparkSession
     known = gates.category_in(qa, names)
-    index = written(category_pool(known, seed, skip_first=True).select("category", "idx", "row_id"), "augment-index")
-    held = {r["category"]: r["n"] for r in index.groupBy("category").agg(F.count("*").alias("n")).collect()}
-    folder = _fetched(known, index, held, seed, rounds)
-    text = {c: dict(qa.dtypes)[c] for c in ("input", "output")}
-    pair_schema = f"category_key string, category string, q1 {text['input']}, a1 {text['output']}, q2 {text['input']}, a2 {text['output']}"
-    base = dict(held)
-    made: list[tuple] = []
+    directory = RankDirectory(known, "category", "row_id", seed, skip_first=True)
+    base = {r["category"]: r["pool_n"] for r in directory.sizes().collect()}  # one row per listed category
+    kinds = dict(qa.dtypes)
+    texts = f"category string, idx long, input {kinds['input']}, output {kinds['output']}"
+    made = f"{texts}, average_score double"
+    root = folder or scratch_path(spark, "augment")
+    held, added_in, fetched = dict(base), {}, None
+    step = Round(write_pair, score)
     for number in range(rounds):
-        draws = {c: two for c in held if (two := _two(held[c], f"{number}|{c}|{seed}"))}
-        if not draws:
-            break
-        drawn = {(c, i) for c, two in draws.items() for i in two}
-        here = {(r[1], r[2]): (r[3], r[4]) for r in made if (r[1], r[2]) in drawn}
-        wanted = F.lit(False)
-        for c in draws:
-            wanted = wanted | ((F.col("category") == c) & (F.col("added") == held[c] - base[c]))
-        rows = spark.read.schema(f"category string, added long, idx long, input {text['input']}, output {text['output']}").parquet(
-            f"{folder}/round={number}"
-        )
-        for r in rows.where(wanted).collect():  # two rows per listed category at most
-            here[(r["category"], r["idx"])] = (r["input"], r["output"])
-        pairs = spark.createDataFrame([(c, c, *here[(c, i)], *here[(c, j)]) for c, (i, j) in draws.items()], pair_schema)
-        drafts = gates.length_range(write_pairs(pairs, ["category_key"], write_pair))
-        passed = gates.score_gate(score_rows(drafts, score, ["category_key"]))
-        for r in passed.select("category", "input", "output", "average_score").collect():
-            made.append((number, r["category"], held[r["category"]], r["input"], r["output"], r["average_score"]))
-        for r in made:
-            if r[0] == number:
-                held[r[1]] += 1
-    return spark.createDataFrame(
-        made, f"round int, category string, idx long, input {text['input']}, output {text['output']}, average_score double"
-    )
-
-
-def _fetched(qa: DataFrame, index: DataFrame, held: dict[str, int], seed: int | str, rounds: int) -> str:
-    """Folder of ``category, added, idx, input, output`` by round: the base rows a draw can fall on."""
-    spark = qa.sparkSession
-    path = scratch_path(spark, "augment")
-    sizes = spark.createDataFrame(list(held.items()), "category string, base long")
-    places = (
-        spark.range(rounds)
-        .select(F.col("id").alias("round"), F.explode(F.sequence(F.lit(0), F.col("id"))).alias("added"))
-        .join(F.broadcast(sizes))  # one row per listed category
-        .withColumn("n", F.col("base") + F.col("added"))
-        .where("n >= 2")
-    )
-
-    def draw(what: str) -> F.Column:
-        digest = F.md5(F.concat_ws("|", "round", "category", F.lit(str(seed)), F.lit(what)).cast("binary"))
-        return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-
-    first, second = draw("first") % F.col("n"), draw("second") % (F.col("n") - 1)
-    both = places.withColumns({"first": first, "second": second}).select(
-        "round", "category", "added", F.explode(F.array("first", F.col("second") + (F.col("second") >= F.col("first")).cast("long"))).alias("idx")
-    )
-    ids = written(both.join(index, ["category", "idx"]).select("round", "category", "added", "idx", "row_id"), "augment-places")
-    texts = qa.select("row_id", "input", "output").join(ids.select("row_id").distinct(), "row_id")
-    rows = ids.join(texts, "row_id").select("round", "category", "added", "idx", "input", "output")
-    rows.repartition("round").write.partitionBy("round").parquet(path)
+        path = f"{root}/round={number}"
+        if number % window == 0:
+            fetched = None
+        if not finished(spark, path):
+            draws = [
+                (c, slot, idx, n)
+                for c, n in held.items()
+                if (two := _two(n, f"{number}|{c}|{seed}"))
+                for slot, idx in enumerate(two)
+            ]
+            if not draws:
+                break
+            if fetched is None:
+                last = min(rounds, number - number % window + window)
+                fetched = _window(known, directory, base, held, seed, number, last, texts)
+            earlier = sorted({added_in[c, i] for c, _, i, _ in draws if i >= base[c]})
+            rows = spark.read.schema(texts).parquet(fetched, *(f"{root}/round={r}" for r in earlier))
+            step(rows, draws).write.mode("overwrite").parquet(path)
+        # Names only, one row per listed category at most.
+        for (c,) in spark.read.schema(made).parquet(path).select("category").collect():
+            added_in[c, held[c]] = number
+            held[c] += 1
+    if not finished(spark, f"{root}/round=0"):
+        return spark.createDataFrame([], f"round int, {made}")
+    done = [f"{root}/round={r}" for r in sorted(set(added_in.values()))] or [f"{root}/round=0"]
+    return spark.read.schema(f"{made}, round int").option("basePath", root).parquet(*done).select("round", *(c.split()[0] for c in made.split(", ")))
+
+
+class Round:
+    """One round: the drawn texts, a new pair per category, and both gates.
+
+    The expressions are the same in every round and are made once.
+    """
+
+    def __init__(self, write_pair: Generate, score: Generate):
+        side = lambda slot: F.max(F.when(F.col("slot") == slot, F.struct("input", "output")))
+        self.sides = side(0).alias("one"), side(1).alias("two")
+        texts = {"q1": "one.input", "a1": "one.output", "q2": "two.input", "a2": "two.output"}
+        keys = ["category", "n"]
+        self.pair = [*map(F.col, keys), *(F.col(c).alias(name) for name, c in texts.items())]
+        self.pair_prompt = [*map(F.col, keys), prompts.pair_prompt().alias("prompt")]
+        self.write = Answers(keys, write_pair, responses.PAIR, PAIR_ATTEMPTS)
+        self.usable = F.col("ok") & F.length("output").between(MIN_LENGTH, MAX_LENGTH)
+        draft = ["category", "n", "input", "output"]
+        self.draft_prompt = [*map(F.col, draft), prompts.rubric_prompt().alias("prompt")]
+        self.mark = Answers(draft, score, responses.RUBRIC, SCORE_ATTEMPTS)
+        # A draft that cannot be scored gets the default, as in ``score_rows``.
+        points = F.coalesce("average", F.lit(DEFAULT_SCORE)).alias("average_score")
+        self.out = [F.col("category"), F.col("n").alias("idx"), F.col("input"), F.col("output"), points]
+        self.passed = F.col("average_score") >= MIN_SCORE
+
+    def __call__(self, rows: DataFrame, draws: list[tuple]) -> DataFrame:
+        # Two rows per listed category, in the plan itself: nothing runs to make them.
+        columns = zip(("category", "slot", "idx", "n"), zip(*draws))
+        drawn = F.broadcast(rows.sparkSession.createDataFrame(pa.table({name: list(values) for name, values in columns})))
+        # So few rows need no exchange. Nothing is stored in between: the round's folder is
+        # the one place that its rows are written to.
+        pairs = rows.join(drawn, ["category", "idx"]).coalesce(1).groupBy("category", "n").agg(*self.sides)
+        drafts = self.write(pairs.select(*self.pair).select(*self.pair_prompt)).where(self.usable)
+        return self.mark(drafts.select(*self.draft_prompt)).select(*self.out).where(self.passed)
+
+
+def _window(
+    known: DataFrame,
+    directory: RankDirectory,
+    base: dict[str, int],
+    held: dict[str, int],
+    seed: int | str,
+    start: int,
+    stop: int,
+    texts: str,
+) -> str:
+    """Folder of the base rows that a draw of rounds ``start`` to ``stop`` can fall on.
+
+    A round adds none or one row to a category, so round r knows r - start + 1 sizes.
+    """
+    spark = known.sparkSession
+    places = {
+        (c, i)
+        for c, n in held.items()
+        for number in range(start, stop)
+        for added in range(number - start + 1)
+        for i in _two(n + added, f"{number}|{c}|{seed}") or ()
+        if i < base[c]
+    }
+    path = scratch_path(spark, "augment-window")
+    if not places:
+        spark.createDataFrame([], texts).write.parquet(path)
+        return path
+    ids = directory.locate(spark.createDataFrame(sorted(places), "category string, idx long"))
+    ids = written_side(ids.select(F.col("category").alias("_c"), "idx", "row_id"), "augment-places")
+    rows = known.select("row_id", "input", "output").join(ids, "row_id")
+    written(rows.select(F.col("_c").alias("category"), "idx", "input", "output"), "augment-window", path)
     return path
 
 

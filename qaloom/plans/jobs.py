@@ -17,28 +17,37 @@ def score_rows(
     keys: list[str] | None = None,
     max_attempts: int = SCORE_ATTEMPTS,
     default: float = DEFAULT_SCORE,
+    on_fail: str = "default",
+    error: str | None = None,
+    **calls,
 ) -> DataFrame:
     """Add (or replace) ``average_score`` and ``score_defaulted``.
 
-    A row that cannot be scored gets the default, which passes the usual gate. The rows
-    themselves are written with their score: ``qa`` is evaluated once and nothing joins.
+    A row that cannot be scored gets the default, which passes the usual gate; ``error``
+    names a column for what its last attempt raised, and ``on_fail="raise"`` ends the job
+    instead, so that an outage does not pass as a score. The rows themselves are written
+    with their score: ``qa`` is evaluated once and nothing joins. ``calls`` goes to
+    ``generate_with_retry``.
     """
     by = keys or ["row_id"]
-    columns = [c for c in qa.columns if c not in ("average_score", "score_defaulted")]
+    made = ("average_score", "score_defaulted", error)
+    columns = [c for c in qa.columns if c not in made]
     marks = generate_with_retry(
         prompts.build_rubric_prompt(spread(qa.select(*columns), by), columns),
         by,
         fn,
         responses.RUBRIC,
         max_attempts,
-        on_fail="keep",
+        on_fail="raise" if on_fail == "raise" else "keep",
         carry=[c for c in columns if c not in by],
         placed=True,
+        **calls,
     )
     return marks.select(
         *columns,
         F.coalesce("average", F.lit(default)).alias("average_score"),
         F.col("average").isNull().alias("score_defaulted"),
+        *([F.col("error").alias(error)] if error else []),
     )
 
 
@@ -46,17 +55,18 @@ def label_options(
     wide: DataFrame, fn: Generate, max_attempts: int = PAIR_ATTEMPTS
 ) -> DataFrame:
     """Let the model choose the answers and write a joint pair: three records per row."""
-    labels = generate_with_retry(
-        prompts.build_option_prompt(wide), ["row_id"], fn, responses.LABELS, max_attempts
-    )
-    return reshape.expand_labels(wide, labels)
+    # The row goes along under one name, since the parsed columns share names with its own.
+    asked = wide.select("row_id", F.struct(*[c for c in wide.columns if c != "row_id"]).alias("wide"), prompts.option_prompt().alias("prompt"))
+    labels = generate_with_retry(asked, ["row_id"], fn, responses.LABELS, max_attempts, carry=["wide"])
+    chosen = labels.select("row_id", "wide.*", "k1", "k2", F.col("q3").alias("new_question"), F.col("a3").alias("new_answer"))
+    return reshape.label_records(chosen)
 
 
-def write_pairs(pairs: DataFrame, keys: list[str], fn: Generate) -> DataFrame:
+def write_pairs(pairs: DataFrame, keys: list[str], fn: Generate, **calls) -> DataFrame:
     """A new question and answer for each pair of pairs; rows that never parse drop out."""
     by = [*keys, "category"]
     made = generate_with_retry(
-        prompts.build_pair_prompt(pairs, by), by, fn, responses.PAIR, PAIR_ATTEMPTS
+        prompts.build_pair_prompt(pairs, by), by, fn, responses.PAIR, PAIR_ATTEMPTS, **calls
     )
     return made.select(*by, "input", "output")
 

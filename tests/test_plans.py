@@ -10,6 +10,8 @@ from qaloom.catalog import QUERIES
 from qaloom.catalog import adapters
 from qaloom.functions.batch import generated
 from qaloom.operators import pairing, prompts, retrieval
+from qaloom.operators.dense import RankDirectory
+from qaloom.operators.stats import category_pool
 from qaloom.plans import augment
 from pyspark.sql import functions as F
 
@@ -95,15 +97,31 @@ def test_embedding_is_computed_once(spark):
 
 
 def test_rounds_fetch_only_what_a_draw_can_fall_on(spark):
-    """The index holds no text, and a round's folder holds the drawn places only."""
+    """The directory holds no text, and a window's folder holds the drawn places only."""
     rows = adapters.qa_docs(spark, SF)
-    index = augment.category_pool(rows, 1, skip_first=True).select("category", "idx", "row_id")
-    scans = [line for line in plan_of(index).splitlines() if "ReadSchema" in line]
+    directory = RankDirectory(rows, "category", "row_id", 1, skip_first=True)
+    scans = [line for line in plan_of(directory.rows).splitlines() if "ReadSchema" in line]
     assert scans and not any("text" in line for line in scans)
-    held = {r["category"]: r["n"] for r in index.groupBy("category").agg(F.count("*").alias("n")).collect()}
-    folder = augment._fetched(rows, index, held, 1, 4)
-    sizes = {r["round"]: r["n"] for r in spark.read.parquet(folder).groupBy("round").agg(F.count("*").alias("n")).collect()}
-    assert all(0 < n <= 2 * len(held) * (number + 1) for number, n in sizes.items()) and len(sizes) == 4
+    held = {r["category"]: r["pool_n"] for r in directory.sizes().collect()}
+    texts = "category string, idx long, input string, output string"
+    folder = augment._window(rows, directory, held, held, 1, 0, 4, texts)
+    found = spark.read.parquet(folder)
+    assert 0 < found.count() <= 2 * len(held) * (1 + 2 + 3 + 4)
+    pool = {(r.category, r.idx): r.row_id for r in category_pool(rows, 1).collect()}
+    by_id = {r.row_id: (r.input, r.output) for r in rows.collect()}
+    assert all(by_id[pool[r.category, r.idx]] == (r.input, r.output) for r in found.collect())
+
+
+def test_only_drawn_buckets_are_ranked(spark):
+    """Below the window that ranks, ids are cut to the buckets of the draws."""
+    rows = adapters.qa_docs(spark, SF)
+    directory = RankDirectory(rows, "category", "row_id", 1)
+    asked = spark.createDataFrame([("en", 0), ("en", 7), ("fr", 3)], "category string, idx long")
+    plan = plan_of(directory.locate(asked))
+    ranking = plan[plan.index("row_number()") :]
+    ranking = ranking[: ranking.index("text") if "text" in ranking else len(ranking)]
+    assert ranking.index("Join") < ranking.index("documents")
+    assert all("text" not in s for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan))
 
 
 def test_hot_key_is_spread_over_buckets(spark, no_broadcast):
