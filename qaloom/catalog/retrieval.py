@@ -52,6 +52,19 @@ def knn_join_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "knn_join_approx",
+    f"""WITH {HITS}
+    SELECT id, CAST(rank AS INTEGER) AS rank, doc_id, round(distance, 6) AS distance, 1.0::DOUBLE AS recall FROM hits""",
+)
+def knn_join_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits from compressed vectors, and each question's recall against ``knn_join``."""
+    asked, stored = a.vector_queries(spark, sf_dir), a.vectors(spark, sf_dir)
+    found = retrieval.knn_join_approx(asked, stored)
+    recall = retrieval.recall_of(found, retrieval.knn_join(asked, stored))
+    return _rounded(found).join(recall, "id")
+
+
 @query(
     "join_context",
     f"""WITH {a.PASSAGES}, {HITS}

@@ -124,3 +124,70 @@ class Nearest:
         np.maximum.at(worst, rows[keep], dist[keep])
         full = touched & (counts == self.k)
         self.limit[full] = worst[full]
+
+
+class Bounded:
+    """Passages that may be among the ``k`` nearest of each query, by bounds on their distance.
+
+    Distances here are not squared. ``limit`` is the k-th least upper bound seen so far; a
+    row stays while its lower bound is within it.
+    """
+
+    # Rows held per query before those beyond the limit are let go.
+    HELD = 64
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.norms = np.einsum("ij,ij->i", queries, queries)
+        self.limit = np.full(len(queries), np.inf)
+        self.high = np.full((len(queries), k), np.inf)
+        self.parts: list[tuple] = []
+        self.held = 0
+
+    def add(self, points: np.ndarray, slack: np.ndarray, same: np.ndarray, ids: np.ndarray) -> None:
+        if points.shape[1] != self.queries.shape[1]:
+            raise ValueError(f"vectors of {points.shape[1]} and {self.queries.shape[1]} components")
+        norms = np.einsum("ij,ij->i", points, points)
+        step = max(1, BLOCK_ENTRIES // len(points))
+        for start in range(0, len(self.queries), step):
+            part = slice(start, start + step)
+            q = self.norms[part, None]
+            squared = q + norms[None, :] - 2.0 * (self.queries[part] @ points.T)
+            # What the block product may be off by, far above its rounding error.
+            off = 1e-10 * (1.0 + q + norms.max())
+            high = np.sqrt(np.maximum(squared + off, 0.0)) + slack
+            low = np.maximum(np.sqrt(np.maximum(squared - off, 0.0)) - slack, 0.0)
+            best = np.concatenate([self.high[part], high], axis=1)
+            self.high[part] = np.partition(best, self.k - 1, axis=1)[:, : self.k]
+            self.limit[part] = self.high[part].max(axis=1)
+            rows, cols = np.nonzero(low <= self.limit[part, None])
+            found = (rows + start, ids[cols], low[rows, cols], high[rows, cols], same[cols])
+            self.parts.append(self._thinned(found))
+            self.held += len(self.parts[-1][0])
+        if self.held > self.HELD * self.k * len(self.queries):
+            self._prune()
+            self.HELD = max(self.HELD, 2 * self.held // (self.k * len(self.queries)) + 1)
+
+    def _thinned(self, found: tuple) -> tuple:
+        """At most the ``k`` lowest ids of the copies of a vector: no query can want more."""
+        row, ids, low, high, same = found
+        if len(row) <= self.k:
+            return found
+        order = np.unique(ids, return_inverse=True)[1].ravel()
+        group = np.unique(np.stack([row, same, low.view(np.int64)]), axis=1, return_inverse=True)[1].ravel()
+        keep = np.sort(_lowest(group, order, self.k))
+        return tuple(x[keep] for x in found)
+
+    def _prune(self) -> None:
+        whole = tuple(np.concatenate(x) for x in zip(*self.parts))
+        near = whole[2] <= self.limit[whole[0]]
+        self.parts = [self._thinned(tuple(x[near] for x in whole))]
+        self.held = len(self.parts[0][0])
+
+    def rows(self) -> tuple:
+        """Query number, id, lower and upper bound, and hash of every row that is left."""
+        if not self.parts:
+            none = np.empty(0)
+            return none.astype(np.int64), none, none, none, none.astype(np.int64)
+        self._prune()
+        return self.parts[0]

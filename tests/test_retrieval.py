@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from qaloom.functions.vectors import Nearest
+from qaloom.functions.vectors import Bounded, Nearest
 from qaloom.operators import retrieval
 from qaloom.operators.submission import positional_fallback_join
 
@@ -36,6 +36,8 @@ VARIANTS = {
     "over the bound": lambda q, p, k: retrieval.knn_join(q, p, k, query_bytes=1),
     "blocked": lambda q, p, k: retrieval.knn_join_blocked(q, p, k, 7, 11),
     "pruned": lambda q, p, k: retrieval.knn_join_pruned(q, p, k, 6, 9, 5),
+    "coded": lambda q, p, k: retrieval.knn_join_approx(q, p, k),
+    "coded in blocks": lambda q, p, k: retrieval.knn_join_approx(q, p, k, query_bytes=150),
 }
 
 
@@ -67,6 +69,87 @@ def test_no_passages(spark, variant):
     assert rows(got) == []
 
 
+@pytest.mark.parametrize("splits", [3, 40, 90])
+def test_rows_of_the_last_merge_do_not_grow_with_the_splits(spark, splits, monkeypatch):
+    monkeypatch.setattr(retrieval, "GROUPS", 5)
+    monkeypatch.setattr(retrieval, "_search_tasks", lambda *_: splits)
+    rng = np.random.default_rng(3)
+    passages = rng.normal(size=(900, 4)).astype(np.float32)
+    queries = rng.normal(size=(6, 4)).astype(np.float32)
+    last = []
+    original = retrieval.merged
+
+    def counted(hits, k, parts):
+        out = original(hits, k, parts)
+        last.append((parts, out.groupBy("id").count().agg({"count": "max"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(retrieval, "merged", counted)
+    stored = table(spark, passages, "doc_id").repartition(splits)
+    assert rows(retrieval.knn_join(table(spark, queries, "id"), stored, 4)) == brute(queries, passages, 4)
+    assert rows(retrieval.knn_join_blocked(table(spark, queries, "id"), stored, 4, 3, 900 // splits)) == brute(queries, passages, 4)
+    assert [n for _, n in last] == [min(splits, 5) * 4] * 2
+
+
+def test_search_tasks_follow_bytes(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS doc_id", "array(1.0f, 2.0f) AS embedding").write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    cores = spark.sparkContext.defaultParallelism
+    assert retrieval._search_tasks(stored, 100) == cores
+    # A size that nothing is known of counts as large; many hits ask for larger tasks.
+    unknown = spark.sparkContext.parallelize([(1, [1.0])]).toDF("doc_id long, embedding array<float>")
+    assert retrieval._search_tasks(unknown, 100) == 1 << 20
+    few = 1 << 60
+    assert retrieval._search_tasks(unknown, few) == cores
+
+
+def test_grid_copies_the_fewest_rows(spark):
+    for n, m, room in [(5, 5, 10), (7, 100, 20), (100, 7, 20), (1000, 1000, 64), (3, 10_000, 50), (10, 9, 2), (1, 1, 2)]:
+        r, c = retrieval.grid(n, m, room)
+        copies = n * c + m * r
+        cost = lambda i: n * -(-m // (room - -(-n // i))) + m * i if room > -(-n // i) else None
+        assert (r, c) == (1, 1) if n + m <= room else copies == min(x for i in range(1, n + 1) if (x := cost(i)) is not None)
+        assert n + m <= room or -(-n // r) + -(-m // c) <= room
+    queries = table(spark, np.zeros((30, 2)), "id")
+    passages = table(spark, np.zeros((200, 2)), "doc_id")
+    left, right = retrieval._grid_sides(queries, passages, 2, 5)
+    assert (left.count(), right.count()) == (30 * 5, 200 * 2)
+    square = 30 * 10 + 200 * 2  # two equal sides of 20 rows
+    r, c = retrieval.grid(30, 200, 40)
+    left, right = retrieval._grid_sides(queries, passages, r, c)
+    assert left.count() + right.count() == 30 * c + 200 * r <= square
+
+
+def test_recall_of_a_bounded_rerank(spark):
+    rng = np.random.default_rng(4)
+    passages = rng.normal(size=(400, 16)).astype(np.float32)
+    queries = rng.normal(size=(10, 16)).astype(np.float32)
+    asked, stored = table(spark, queries, "id"), table(spark, passages, "doc_id")
+    codes, exact = retrieval.vector_codes(stored), retrieval.knn_join(asked, stored, 5)
+    whole = retrieval.recall_of(retrieval.knn_join_approx(asked, stored, 5, codes), exact)
+    assert {r.recall for r in whole.collect()} == {1.0}
+    near = retrieval.recall_of(retrieval.knn_join_approx(asked, stored, 5, codes, rerank=6), exact).collect()
+    assert sum(r.recall for r in near) / len(near) >= 0.9
+    two = retrieval.recall_of(retrieval.knn_join_approx(asked, stored, 5, codes, rerank=2), exact).collect()
+    assert {r.recall for r in two} == {0.4}
+
+
+def test_codes_decide_nearly_all_passages(spark):
+    """Full vectors are read for one passage in a hundred at most, copies included."""
+    rng = np.random.default_rng(5)
+    passages = np.concatenate([rng.normal(size=(3000, 24)), np.zeros((1500, 24))]).astype(np.float32)
+    queries = np.concatenate([rng.normal(size=(5, 24)), np.zeros((1, 24))]).astype(np.float32)
+    codes = retrieval.vector_codes(table(spark, passages, "doc_id").repartition(4))
+    table_of_codes = codes.frame.toArrow()
+    bounded = Bounded(queries.astype(np.float64), 4)
+    for batch in table_of_codes.to_batches(max_chunksize=500):
+        slack, same = (np.asarray(batch.column(c)) for c in ("slack", "same"))
+        bounded.add(codes.points(batch.column("code")), slack, same, np.asarray(batch.column("doc_id")))
+    row, *_ = bounded.rows()
+    assert (np.bincount(row, minlength=6) <= 45).all() and (np.bincount(row, minlength=6) >= 4).all()
+    assert codes.frame.agg({"slack": "max"}).first()[0] > 0
+
+
 def test_pruning_visits_fewer_cells(spark):
     """Far clusters are not visited, so their rows never meet the question."""
     rng = np.random.default_rng(2)
