@@ -8,7 +8,7 @@ from qaloom.catalog import adapters as a
 from qaloom.catalog.registry import query
 from qaloom.functions.hashing import hash_draw, stable_hash
 from qaloom.operators import pairing, split, stats
-from qaloom.operators.dense import range_index
+from qaloom.operators.dense import StoredIndex, range_index
 
 SEED = "7"
 
@@ -73,6 +73,14 @@ def category_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.category_partner(a.qa_docs(spark, sf_dir), SEED)
 
 
+@query("category_partner_indexed", f"WITH {a.QA_DOCS}, {sql_partner('qa_docs', 1)} {_PARTNER_OUT}")
+def category_partner_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same partners through an index that is laid out once for all who draw."""
+    rows = a.qa_docs(spark, sf_dir)
+    index = StoredIndex(rows, "category", "row_id", SEED, skip_first=True)
+    return pairing.category_partner(rows, SEED, index=index)
+
+
 @query(
     "minority_partner",
     f"""WITH {a.QA_DOCS}, minor AS (SELECT * FROM qa_docs WHERE category IN ('de', 'es')),

@@ -10,10 +10,12 @@ are wanted, ``RankDirectory`` finds their rows and ranks no others.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from qaloom.functions.hashing import stable_hash
-from qaloom.lineage import written, written_side
+from qaloom.lineage import scratch_path, written, written_side
 
 # Four hex digits: 65,536 buckets per key, hence at most 65,536 bucket counts in
 # one running sum, and 1e12 rows of one key make buckets of 15 million narrow rows.
@@ -162,6 +164,50 @@ class RankDirectory:
         return met.join(ranked, ["_key", "_bucket", "_rank"]).select(*positions.columns, F.col("_id").alias(self.row_id))
 
 
+class StoredIndex:
+    """``hash_index`` laid out once as a bucketed table, for every operator that draws from it.
+
+    The table is bucketed and sorted by key and position, so a join on those moves the
+    draws only. It has one narrow row per row of ``df``; rows without a position have none.
+    ``locate`` and ``sizes`` are those of ``RankDirectory``.
+    """
+
+    def __init__(
+        self,
+        df: DataFrame,
+        key: str,
+        row_id: str,
+        seed: int | str,
+        skip_first: bool = False,
+        buckets: int | None = None,
+        path: str | None = None,
+    ):
+        spark = df.sparkSession
+        self.key, self.row_id, self.kind = key, row_id, df.schema[key].dataType
+        indexed = hash_index(df, key, row_id, seed, skip_first)
+        rows = indexed.select(F.coalesce(F.col(key).cast("string"), F.lit(_NULL_KEY)).alias("_key"), "idx", F.col(row_id).alias("_id"), "pool_n")
+        self.name = f"qaloom_index_{uuid.uuid4().hex}"
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = rows.repartition(self.buckets, "_key", "idx").write.option("path", path or scratch_path(spark, "stored-index"))
+        writer.bucketBy(self.buckets, "_key", "idx").sortBy("_key", "idx").saveAsTable(self.name)
+        self.table = spark.table(self.name)
+
+    def key_column(self, column) -> Column:
+        return F.coalesce(column.cast("string"), F.lit(_NULL_KEY))
+
+    def rows(self) -> DataFrame:
+        """``key, row_id, idx, pool_n``."""
+        named = F.nullif(F.col("_key"), F.lit(_NULL_KEY)).cast(self.kind).alias(self.key)
+        return self.table.select(named, F.col("_id").alias(self.row_id), "idx", "pool_n")
+
+    def sizes(self) -> DataFrame:
+        return self.rows().groupBy(self.key).agg(F.max("pool_n").alias("pool_n"))
+
+    def locate(self, positions: DataFrame) -> DataFrame:
+        asked = positions.withColumn("_key", self.key_column(F.col(self.key)))
+        return asked.join(self.table.drop("pool_n"), ["_key", "idx"]).select(*positions.columns, F.col("_id").alias(self.row_id))
+
+
 def range_index(df: DataFrame, row_id: str, width: int | None = None) -> DataFrame:
     """All columns plus ``position``: 0-based rank by a unique id, dense or sparse.
 

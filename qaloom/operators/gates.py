@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from qaloom.functions.text import contains_text, parse_score, text_length
-from qaloom.operators.stats import index_quantile
+from qaloom.operators.stats import histogram_quantile
 from qaloom.schemas import (
     DROP_MARKERS,
     HIGH_QUANTILE,
@@ -32,7 +32,7 @@ def length_quantile_band(
     the data, no join.
     """
     length = text_length(F.col("output"))
-    bounds = index_quantile(df.select(length.alias("length")), "length", {"lo": low, "hi": high})
+    bounds = histogram_quantile(df.select(length.alias("length")), "length", {"lo": low, "hi": high})
     pair = bounds.select(F.struct("lo", "hi")).scalar()
     return df.where((length > pair.getField("lo")) & (length < pair.getField("hi")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from qaloom.functions.hashing import hash_draw, stable_hash
 from qaloom.lineage import BROADCAST_ROWS, written, written_side
-from qaloom.operators.dense import RankDirectory, hash_index
+from qaloom.operators.dense import RankDirectory, StoredIndex, hash_index
 from qaloom.operators.gates import category_in
 from qaloom.operators.reshape import constant_labels
 from qaloom.schemas import CATEGORIES, MINORITY_CATEGORIES, NEGATIVE_DRAWS
@@ -24,13 +24,16 @@ def category_partner(
     answer: str = "output",
     skip_first: bool = True,
     repeats: int = 1,
+    index: StoredIndex | None = None,
 ) -> DataFrame:
     """One partner per row and repeat, drawn with replacement from the row's category.
 
     The pool lacks the category's first row unless ``skip_first`` is off; a row may
     draw itself; an empty pool gives no pair. Rows without a category are one category.
+    With an ``index`` of ``qa`` by category and ``row_id`` (which then decides seed of the
+    order and first rows), nothing is indexed anew and only the draws move to meet it.
     """
-    indexed = hash_index(qa, "category", "row_id", seed, skip_first)
+    indexed = index.rows() if index else hash_index(qa, "category", "row_id", seed, skip_first)
     draws = indexed.select(
         "category",
         "row_id",
@@ -44,11 +47,15 @@ def category_partner(
             stable_hash(F.concat_ws("|", "row_id", "draw_no"), f"{seed}|partner"), F.col("pool_n")
         ).alias("idx"),
     )
-    pool = indexed.where(F.col("idx").isNotNull()).select(
-        "category", "idx", F.col("row_id").alias("partner_id")
-    )
-    same = draws["category"].eqNullSafe(pool["category"]) & (draws["idx"] == pool["idx"])
-    links = draws.join(pool, same).select("row_id", "draw_no", "partner_id")
+    if index:
+        drawn = index.locate(draws.withColumnRenamed("row_id", "own_id"))
+        links = drawn.select(F.col("own_id").alias("row_id"), "draw_no", F.col("row_id").alias("partner_id"))
+    else:
+        pool = indexed.where(F.col("idx").isNotNull()).select(
+            "category", "idx", F.col("row_id").alias("partner_id")
+        )
+        same = draws["category"].eqNullSafe(pool["category"]) & (draws["idx"] == pool["idx"])
+        links = draws.join(pool, same).select("row_id", "draw_no", "partner_id")
     own = qa.select(
         "row_id", F.col(question).alias("q1"), F.col(answer).alias("a1"), "category"
     )
@@ -121,6 +128,7 @@ def negative_pairs(
     seed: int | str,
     categories: list[str] | None = None,
     n: int = NEGATIVE_DRAWS,
+    index: StoredIndex | None = None,
 ) -> DataFrame:
     """``n`` questions, each with an answer from another category.
 
@@ -149,7 +157,7 @@ def negative_pairs(
     )
     # One directory serves both sides: sizes to draw from, then the drawn rows' ids. Only
     # the hash buckets that a draw falls into are ranked.
-    directory = RankDirectory(category_in(qa, names), "category", "row_id", seed)
+    directory = index or RankDirectory(category_in(qa, names), "category", "row_id", seed)
     sizes = F.broadcast(directory.sizes())  # at most one row per listed category
     picks = chosen.select(
         "draw_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from qaloom.functions.text import format_score, parse_score, text_length
 from qaloom.operators.dense import hash_index
@@ -31,15 +31,80 @@ def minority_total(df: DataFrame, categories: list[str] | None = None) -> DataFr
     return df.agg(F.count_if(wanted).alias("n"))
 
 
-def index_quantile(df: DataFrame, column: str, quantiles: dict[str, float]) -> DataFrame:
-    """One row with ``sorted(x)[int(n * p)]`` for each named ``p``.
+# Rows that may pass through one task to settle a quantile.
+SETTLED_ROWS = 100_000
+# Share of the rows on either side of a wanted place that the next round aims to keep.
+MARGIN = 2e-3
 
-    Works on the histogram of a whole-number column. Distinct values, not rows, reach
-    the running sum: for text lengths that is bounded by the longest text.
+
+def histogram_quantile(df: DataFrame, column: str, quantiles: dict[str, float]) -> DataFrame:
+    """``index_quantile`` of a column with few values, as one lazy row.
+
+    Distinct values, not rows, reach the running sum: for text lengths that is bounded by
+    the longest text.
     """
     return _histogram(df.select(F.col(column).alias("v"))).agg(*_at(quantiles))
 
 
+def index_quantile(df: DataFrame, column: str, quantiles: dict[str, float], settled: int = SETTLED_ROWS) -> DataFrame:
+    """One row with ``sorted(x)[int(n * p)]`` for each named ``p``, NULL where there is no value.
+
+    Exact for a column with any number of values. Each wanted place has an interval that
+    holds it. A round asks a sketch for two values close to the place and counts the rows
+    below and up to each: the place is one of the two, or in what they leave, so every round
+    settles it or cuts the interval, whatever the sketch said. Both steps are partial sums,
+    and a few numbers per quantile reach the driver. What holds at most ``settled`` rows is
+    sorted; two or three rounds get there.
+    """
+    values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
+    kind = values.schema["v"].dataType
+    n = values.count()
+    spark = df.sparkSession
+    schema = T.StructType([T.StructField(name, kind) for name in quantiles])
+    found: dict[str, object] = dict.fromkeys(quantiles) if not n else {}
+    place = {name: min(int(n * p), n - 1) for name, p in quantiles.items()}
+    value = F.col("v")
+    known = lambda x: F.lit(x).cast(kind)
+    # The test of each interval, the rows below it and the rows in it.
+    state = {} if found else {name: (F.lit(True), 0, n) for name in quantiles}
+    while open_ := [name for name, (_, _, rows) in state.items() if rows > settled]:
+        guesses = []
+        for name in open_:
+            test, below, rows = state[name]
+            at = (place[name] - below) / rows
+            ends = [max(0.0, at - MARGIN), min(1.0, at + MARGIN)]
+            guesses.append(F.percentile_approx(F.when(test, value), ends, int(4 / MARGIN)).alias(name))
+        guess = values.agg(*guesses).first()
+        tests = [test for name in open_ for x in guess[name] for test in (value < known(x), value <= known(x))]
+        counts = iter(values.agg(*(F.count_if(t).alias(f"n{i}") for i, t in enumerate(tests))).first())
+        for name in open_:
+            test, below, rows = state[name]
+            x, y = guess[name]
+            under_x, upto_x, under_y, upto_y = (next(counts) for _ in range(4))
+            if place[name] < under_x:
+                state[name] = (test & (value < known(x)), below, under_x - below)
+            elif place[name] < upto_x:
+                found[name] = x
+            elif place[name] < under_y:
+                state[name] = (test & (value > known(x)) & (value < known(y)), upto_x, under_y - upto_x)
+            elif place[name] < upto_y:
+                found[name] = y
+            else:
+                state[name] = (test & (value > known(y)), upto_y, below + rows - upto_y)
+            if name in found:
+                del state[name]
+    last = [
+        _histogram(values.where(test)).where(F.col("cum") + below > place[name]).agg(F.min("v").alias("v")).select(F.lit(name).alias("name"), "v")
+        for name, (test, below, _) in state.items()
+    ]
+    if last:
+        rows = last[0]
+        for more in last[1:]:
+            rows = rows.unionByName(more)
+        found |= {r["name"]: r["v"] for r in rows.collect()}  # one row per quantile
+    return spark.createDataFrame([tuple(found[name] for name in quantiles)], schema)
+
+
 def _histogram(values: DataFrame) -> DataFrame:
     """Rows per value ``v``, with the running and the whole count."""
     counts = values.where(F.col("v").isNotNull()).groupBy("v").agg(

@@ -29,13 +29,24 @@ def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     )
 
 
+def _asked(names: dict[str, str], columns: list[str] | None) -> dict[str, str]:
+    """The headers of the wanted columns; an unknown column is an error."""
+    if columns is None:
+        return names
+    if unknown := set(columns) - set(names.values()):
+        raise ValueError(f"no columns {sorted(unknown)}")
+    return {head: name for head, name in names.items() if name in columns}
+
+
 def _present(column: Column) -> Column:
     return F.when(~column.isin(MISSING_TEXTS), column)
 
 
-def with_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
+def with_row_id(scan: DataFrame, name: str = "row_id", columns: list[str] | None = None) -> DataFrame:
     """Add each row's position in file order (file path, then place in the file).
 
+    ``columns`` names those that are wanted: no others are read or written.
+
     Numbers inside a path count as numbers: ``part-2`` comes before ``part-10``.
 
     ``scan`` must come straight from a file reader. Rows of one split are read in order
@@ -44,9 +55,10 @@ def with_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
     into columns for all later passes. One small row per split carries the number of rows
     before it; it is counted before it is broadcast, and the data rows do not move.
     """
+    kept = scan.columns if columns is None else columns
     tagged = written(
         scan.select(
-            "*",
+            *[F.col(f"`{c}`") for c in kept],
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_seen"),
@@ -74,7 +86,7 @@ def with_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
     joined = tagged.join(
         starts, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b"))
     )
-    return joined.select((F.col("_seen") + F.col("_shift")).alias(name), *scan.columns)
+    return joined.select((F.col("_seen") + F.col("_shift")).alias(name), *[F.col(f"`{c}`") for c in kept])
 
 
 def scan_wide_qa(
@@ -82,10 +94,11 @@ def scan_wide_qa(
     path: str,
     headers: dict[str, str] | None = None,
     multi_line: bool = True,
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """Wide question/answer CSV: ``row_id, q1, q2, a1..a5, category``."""
-    names = headers or WIDE_HEADERS
-    rows = with_row_id(_csv(spark, path, multi_line))
+    """Wide question/answer CSV: ``row_id, q1, q2, a1..a5, category``, or only ``columns`` of these."""
+    names = _asked(headers or WIDE_HEADERS, columns)
+    rows = with_row_id(_csv(spark, path, multi_line), columns=list(names))
     return rows.select(
         "row_id", *[_present(F.col(f"`{head}`")).alias(name) for head, name in names.items()]
     )
@@ -96,19 +109,21 @@ def scan_questions(
     path: str,
     headers: dict[str, str] | None = None,
     multi_line: bool = True,
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """Test questions: ``row_id, id, question``."""
-    names = headers or QUESTION_HEADERS
-    rows = with_row_id(_csv(spark, path, multi_line))
+    """Test questions: ``row_id, id, question``, or only ``columns`` of these."""
+    names = _asked(headers or QUESTION_HEADERS, columns)
+    rows = with_row_id(_csv(spark, path, multi_line), columns=list(names))
     return rows.select(
         "row_id", *[_present(F.col(f"`{head}`")).alias(name) for head, name in names.items()]
     )
 
 
-def scan_template(spark: SparkSession, path: str, id_column: str = "id") -> DataFrame:
-    """Submission template: ``row_id``, the id, and every other column as a double."""
-    rows = with_row_id(_csv(spark, path, multi_line=False))
-    numbers = [c for c in rows.columns if c not in ("row_id", id_column)]
+def scan_template(spark: SparkSession, path: str, id_column: str = "id", columns: list[str] | None = None) -> DataFrame:
+    """Submission template: ``row_id``, the id, and every other column (or ``columns``) as a double."""
+    scan = _csv(spark, path, multi_line=False)
+    numbers = [c for c in scan.columns if c != id_column and (columns is None or c in columns)]
+    rows = with_row_id(scan, columns=[id_column, *numbers])
     return rows.select(
         "row_id",
         F.col(f"`{id_column}`").alias("id"),

@@ -9,6 +9,8 @@ from qaloom.functions.text import format_score
 from qaloom.operators import gates, responses
 from qaloom.schemas import DEFAULT_SCORE, MAX_LENGTH, MIN_LENGTH, MIN_SCORE
 
+# How long the id of a row that passed is kept.
+REMEMBER = "30 days"
 SOURCE_SCHEMA = "row_id long, category string, pair_response string, score_response string"
 
 
@@ -42,25 +44,36 @@ def gate_responses(
     return gates.score_gate(kept, minimum)
 
 
+def once(passed: DataFrame, remember: str = REMEMBER) -> DataFrame:
+    """The first row of every id that a stream of passed rows brings within ``remember``."""
+    own = F.concat(F.lit("~"), F.md5(F.to_json(F.struct("input", "output"))))
+    keyed = passed.withColumn("_key", F.coalesce(F.col("row_id").cast("string"), own)).withColumn("_seen", F.current_timestamp())
+    return keyed.withWatermark("_seen", remember).dropDuplicatesWithinWatermark(["_key"]).drop("_key", "_seen")
+
+
 def stream_quality_gates(
     spark: SparkSession,
     source: str,
     target: str,
     checkpoint: str,
     max_files_per_trigger: int = 1000,
+    remember: str = REMEMBER,
     **options,
 ) -> StreamingQuery:
     """Take in the files not yet seen, append what passes, and stop.
 
     The checkpoint remembers the files and the sink its commits, so a restart neither
-    repeats nor loses a row.
+    repeats nor loses a row. A row that is delivered again, in the same file or a later
+    one, passes once: the first delivery that passes the gates counts, and its id is kept
+    as state for ``remember``. The watermark is the time of processing, so no row is ever
+    late, however old its file. Rows without an id are told apart by their responses.
     """
     rows = (
         spark.readStream.schema(SOURCE_SCHEMA)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(source)
     )
-    passed = gate_responses(rows, **options).withColumn(
+    passed = once(gate_responses(rows, **options), remember).withColumn(
         "average_score", format_score(F.col("average_score"))
     )
     return (
