@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from qaloom.lineage import written
+from qaloom.lineage import written, written_side
 from qaloom.llm.batches import SPACE, blocks, words
 from qaloom.llm.components import components
 
@@ -215,8 +215,16 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows whose id is the least of their component, identical rows once, with the columns they came with."""
-    groups = near_duplicates(docs, key)
-    first = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("first")).distinct()
+    """The rows whose id is the least of their component, identical rows once, with the columns they came with.
+
+    The ids that stay are few enough to be sent everywhere or else joined, so texts move
+    only where an id occurs more than once.
+    """
+    groups = written(near_duplicates(docs, key), "simhash-groups")
+    first = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("first")).agg((F.count("*") > 1).alias("several"))
     first = written(first, "simhash-first")
-    return docs.join(first, docs[key].eqNullSafe(first["first"]), "left_semi").dropDuplicates([key, "text"])
+    stays = lambda side: docs[key].eqNullSafe(side["first"])
+    once = written_side(first.where("not several").select("first"), "simhash-once")
+    several = written_side(first.where("several").select("first"), "simhash-several")
+    kept = docs.join(once, stays(once), "left_semi")
+    return kept.unionByName(docs.join(several, stays(several), "left_semi").dropDuplicates([key, "text"]))
