@@ -132,7 +132,9 @@ def test_rows_into_the_last_top_k_do_not_grow_with_splits(spark):
     queries = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, embedding array<float>")
     passages = spark.range(4000).selectExpr("id AS doc_id", "array(float(id), float(id % 7)) AS embedding").repartition(200)
     found = retrieval.knn_join(queries, passages, 3)
-    tasks = retrieval.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    # Tasks follow the bytes to read; beyond ``GROUPS`` of them a first merge comes between.
+    tasks = retrieval._search_tasks(passages, 20 * 3)
+    assert tasks <= retrieval.GROUPS
     assert f"Coalesce {tasks}" in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 60
 
