@@ -73,6 +73,16 @@ def category_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.category_partner(a.qa_docs(spark, sf_dir), SEED)
 
 
+_WIDE_PAIRED = f"""{a.WIDE_QA},
+paired AS (SELECT row_id, q2 AS input, a3 AS output, category FROM wide_qa)"""
+
+
+@query("category_partner_wide", f"WITH {_WIDE_PAIRED}, {sql_partner('paired', 1)} {_PARTNER_OUT}")
+def category_partner_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question 2 with answer 3 of the wide table, on both sides."""
+    return pairing.category_partner(a.wide_qa(spark, sf_dir), SEED, question="q2", answer="a3")
+
+
 @query("category_partner_indexed", f"WITH {a.QA_DOCS}, {sql_partner('qa_docs', 1)} {_PARTNER_OUT}")
 def category_partner_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same partners through an index that is laid out once for all who draw."""
