@@ -13,6 +13,7 @@ Defined results: a null or wordless text has fingerprint 0 and is linked like an
 fewer words than a shingle are one shingle. A null id never names a component unless all
 ids of the component are null. An empty table gives an empty result; only the key and the
 text are read.
+One text is held by one task, whatever its length.
 """
 
 from __future__ import annotations
