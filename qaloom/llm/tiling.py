@@ -1,15 +1,18 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and test items are word sequences (letters and digits, lower case). A document
-that shares a seed, ``SEED`` words in a row, with an item is tiled with it around its
-seeds: again and again the longest common run of words that no tile covers yet becomes a
+Documents and test items are word sequences (letters and digits, lower case). A seed is as
+many words in a row as the shortest tile. Tiles that cover ``COVERAGE`` of an item hold at
+least ``needed`` of its seeds, so a document without so many is out; of the others the
+neighbourhoods of longer runs (``SEED`` words) and the stretches with so many seeds within
+``NEAR`` times the item's length are tiled with the item: again and again the longest common run of words that no tile covers yet becomes a
 tile, found by hashing all runs of the current length and halving it (running Karp-Rabin).
 An item leaked if the tiles cover at least ``COVERAGE`` of its words; their order does not
-matter, so reordered passages are caught.
+matter, so reordered passages are caught. Short tiles that lie farther apart than ``NEAR``
+times the item's length are chance, not a passage.
 
 The seeds of the items go to every executor. Their number is counted first: beyond
 ``BLOCK_SEEDS`` the items are cut into blocks and the documents pass one block after the
-other, so no task holds more. Documents never move.
+other, written in between, so no task holds more than one block. Documents never move.
 
 Defined results: null texts and texts without words match nothing; an item with fewer
 words than a seed is its own seed; items repeated under one id count once each. Empty
@@ -30,8 +33,9 @@ from qaloom.lineage import written
 from qaloom.llm.batches import LETTER, blocks, grams, lowered, span_hashes, words
 from qaloom.llm.registry import free_name
 
-SEED = 5
+SEED = 5  # words of a run that is worth tiling around by itself
 TILE = 3
+NEAR = 2
 COVERAGE = 0.8
 BLOCK_SEEDS = 1_000_000
 
@@ -112,39 +116,85 @@ def rolling(values: list[int], free: list[bool], size: int) -> Iterator[tuple[in
             yield i - size + 1, key
 
 
+def needed(length: int, coverage: float, size: int) -> int:
+    """Seeds of ``size`` words, by place in the item, that tiles covering enough of it hold at least."""
+    return max(1, int(np.ceil(coverage * length / size - 1e-9)))
+
+
+MAYBE = np.uint64((1 << 22) - 1)
+
+
 class Items:
-    """One block of test items with the seeds that lead to them."""
+    """One block of test items with the seeds that lead to them.
 
-    def __init__(self, rows: list[tuple[int, list[int]]]):
+    Items shorter than a seed are their own seed; one table for each length of seeds.
+    """
+
+    def __init__(self, rows: list[tuple[int, list[int]]], coverage: float = COVERAGE, least: int = TILE):
         self.rows = rows
-        seeds: dict[int, list[tuple[np.ndarray, int]]] = {}
+        self.need = np.array([needed(len(own), coverage, min(least, len(own) or 1)) for _, own in rows], np.int64)
+        self.long = {i: np.unique(grams(np.array(own, np.uint64), SEED)) for i, (_, own) in enumerate(rows) if len(own) >= SEED}
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        seeds: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
         for i, (_, own) in enumerate(rows):
             if own:
-                size = min(SEED, len(own))
-                seeds.setdefault(size, []).append((np.unique(grams(np.array(own, np.uint64), size)), i))
+                size = min(least, len(own))
+                self.seeds[i] = np.unique(grams(np.array(own, np.uint64), size), return_counts=True)
+                seeds.setdefault(size, []).append((*self.seeds[i], i))
         self.tables = {}
         for size, parts in seeds.items():
-            keys = np.concatenate([k for k, _ in parts])
-            owner = np.concatenate([np.full(len(k), i) for k, i in parts])
+            keys = np.concatenate([k for k, _, _ in parts])
+            times = np.concatenate([n for _, n, _ in parts])
+            owner = np.concatenate([np.full(len(k), i) for k, _, i in parts])
             order = np.argsort(keys, kind="stable")
+            keys, firsts = np.unique(keys[order], return_index=True)
             maybe = np.zeros(1 << 22, bool)
-            maybe[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-            self.tables[size] = keys[order], owner[order], maybe
+            maybe[(keys & MAYBE).astype(np.int64)] = True
+            self.tables[size] = keys, np.append(firsts, len(order)), owner[order], times[order], maybe
 
-    def hits(self, hashes: np.ndarray, text_of: np.ndarray) -> dict[tuple[int, int], list[int]]:
-        """(text, item) -> word places of shared seeds."""
-        out: dict[tuple[int, int], list[int]] = {}
-        for size, (keys, owner, maybe) in self.tables.items():
+    def hits(self, hashes: np.ndarray, text_of: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(text, item, word places of the item's seeds, how often the item has each) where the text has enough seeds."""
+        for size, (keys, firsts, owner, times, maybe) in self.tables.items():
             own = grams(hashes, size)
             if not len(own):
                 continue
-            some = np.flatnonzero(maybe[(own & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            some = np.flatnonzero(maybe[(own & MAYBE).astype(np.int64)])
             some = some[text_of[some] == text_of[some + size - 1]]
-            low, high = np.searchsorted(keys, own[some]), np.searchsorted(keys, own[some], side="right")
-            for place, a, b in zip(some[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
-                for i in set(owner[a:b].tolist()):
-                    out.setdefault((int(text_of[place]), i), []).append(place)
-        return out
+            seed = np.minimum(np.searchsorted(keys, own[some]), len(keys) - 1)
+            known = keys[seed] == own[some]
+            places, seed = some[known], seed[known]
+            if not len(places):
+                continue
+            # Each seed counts once for a text, however often the text has it.
+            pairs = np.unique(text_of[places] * len(keys) + seed)
+            n = np.diff(firsts)[pairs % len(keys)]
+            at = np.repeat(firsts[pairs % len(keys)] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both, where = np.unique(np.repeat(pairs // len(keys), n) * len(self.rows) + owner[at], return_inverse=True)
+            total = np.bincount(where, weights=times[at])
+            both = both[total >= self.need[both % len(self.rows)]]
+            bounds = np.searchsorted(text_of[places], [both // len(self.rows), both // len(self.rows) + 1])
+            for text, item, a, b in zip(both // len(self.rows), both % len(self.rows), *bounds):
+                mine, count = self.seeds[item]
+                k = np.minimum(np.searchsorted(mine, keys[seed[a:b]]), len(mine) - 1)
+                of_item = mine[k] == keys[seed[a:b]]
+                yield int(text), int(item), places[a:b][of_item], count[k][of_item]
+
+    def dense(self, item: int, places: np.ndarray, times: np.ndarray, hashes: np.ndarray, end: int) -> np.ndarray:
+        """The places in a long run of the item, or in a stretch of ``NEAR`` times its length with enough seeds."""
+        length = len(self.rows[item][1])
+        total = np.concatenate([[0], np.cumsum(times)])
+        stop = np.searchsorted(places, places + NEAR * length)
+        full = np.flatnonzero(total[stop] - total[:-1] >= self.need[item])
+        inside = np.zeros(len(places) + 1, np.int64)
+        np.add.at(inside, full, 1)
+        np.add.at(inside, stop[full], -1)
+        kept = np.cumsum(inside[:-1]) > 0
+        if item in self.long:
+            runs = np.flatnonzero(places + SEED <= end)
+            if len(runs):
+                own = grams(hashes[places[0] : end], SEED)[places[runs] - places[0]]
+                kept[runs] |= np.isin(own, self.long[item])
+        return places[kept]
 
 
 def leaks_of(raw: np.ndarray, offsets: np.ndarray, items: Items, coverage: float, least: int) -> list[list[dict]]:
@@ -154,15 +204,17 @@ def leaks_of(raw: np.ndarray, offsets: np.ndarray, items: Items, coverage: float
     hashes = span_hashes(small, starts, ends)
     text_of = np.repeat(np.arange(n), np.diff(first))
     out: list[list[dict]] = [[] for _ in range(n)]
-    for (i, k), places in sorted(items.hits(hashes, text_of).items()):
+    for i, k, places, times in sorted(items.hits(hashes, text_of), key=lambda hit: hit[:2]):
         item_id, pattern = items.rows[k]
         reach = len(pattern) + SEED
         near: list[int] = []  # word places around the seeds; -1 parts those that are not neighbours
-        for place in sorted(places):
+        for place in items.dense(k, places, times, hashes, int(first[i + 1])).tolist():
             a = max(place - reach, int(first[i]), near[-1] + 1 if near else 0)
             if near and a > near[-1] + 1:
                 near.append(-1)
             near.extend(range(a, min(place + reach, int(first[i + 1]))))
+        if not near:
+            continue
         text = [-1 if place < 0 else int(hashes[place]) for place in near]
         found = tiles(pattern, text, min(least, len(pattern)))
         covered = sum(length for length, _, _ in found) / len(pattern)
@@ -213,7 +265,7 @@ def annotate(
         shared = spark.sparkContext.broadcast([(i, own) for _, i, own in rows])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = Items(shared.value)
+            own = Items(shared.value, coverage, least)
             for batch in batches:
                 for part, raw, offsets in blocks(batch):
                     before = part.column(out).to_pylist()
@@ -223,6 +275,8 @@ def annotate(
                     yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
         result = result.mapInArrow(run, schema)
+        if k + 1 < count:
+            result = written(result, "tiling-block")
     return result
 
 

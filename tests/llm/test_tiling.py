@@ -87,3 +87,61 @@ def test_clean_documents_stay_as_they_are(spark):
     kept = keep_clean(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 6]
     assert keep_clean(docs.limit(0), items).count() == 0 and keep_clean(docs, items.limit(0)).count() == docs.count()
+
+
+def test_short_runs_in_any_order_and_edited_items_leak(spark):
+    draw = random.Random(12)
+    items, docs = [], []
+    for i in range(180):
+        own = words(draw, 40)
+        items.append((i, " ".join(own)))
+        if i < 120:  # runs of three or four words in another order
+            size = 3 if i < 60 else 4
+            runs = [own[k : k + size] for k in range(0, 40, size)]
+            draw.shuffle(runs)
+            own = [w for run in runs for w in run]
+        else:  # coverage is exactly 0.8
+            own = [w if k % 5 else "changed" for k, w in enumerate(own)]
+        docs.append((i, " ".join(words(draw, 30) + own + words(draw, 30))))
+    rows = report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: list(r.item_ids) for r in rows.collect()}
+    assert got == {i: [i] for i in range(180)}
+
+
+def test_runs_scattered_over_a_long_text_are_no_leak(spark):
+    draw = random.Random(13)
+    item = words(draw, 40)
+    runs = [item[k : k + 4] for k in range(0, 40, 4)]
+    scattered = [w for run in runs for w in run + words(draw, 100)]
+    half = item[:16] + words(draw, 500)
+    docs = [(1, " ".join(scattered)), (2, " ".join(half)), (3, " ".join(words(draw, 20) + item[20:] + words(draw, 900) + item[:20]))]
+    rows = report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id: list(r.item_ids) for r in rows.collect()} == {1: [], 2: [], 3: [7]}
+
+
+def test_whole_documents_against_brute_force(spark):
+    """Tiling each whole text with each item: with texts of at most twice an item's length nothing is far apart."""
+    draw = random.Random(14)
+    vocabulary = words(draw, 12)
+    items = [(i, " ".join(draw.choice(vocabulary) for _ in range(draw.choice([1, 2, 3, 4, 9, 30])))) for i in range(12)] + [(12, "")]
+    docs = []
+    for i in range(60):
+        own = draw.choice(items)[1].split()
+        cut = draw.randrange(len(own) + 1)
+        text = own[cut:] + own[:cut]
+        for _ in range(draw.choice([0, 1, 3])):
+            if text:
+                text[draw.randrange(len(text))] = draw.choice(vocabulary)
+        docs.append((i, " ".join(text + [draw.choice(vocabulary) for _ in range(draw.choice([0, 4]))])))
+    rows = report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: sorted(r.item_ids) for r in rows.collect()}
+    want = {}
+    for i, text in docs:
+        code = {w: k for k, w in enumerate(vocabulary)}
+        t = [code[w] for w in text.split()]
+        want[i] = []
+        for k, item in items:
+            p = [code[w] for w in item.split()]
+            if p and sum(x[0] for x in brute_tiles(p, t, min(3, len(p)))) >= 0.8 * len(p):
+                want[i].append(k)
+    assert got == want and any(want.values()) and not all(len(x) == 1 for x in want.values())
