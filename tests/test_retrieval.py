@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from qaloom.functions.vectors import Bounded, Nearest
 from qaloom.operators import retrieval
@@ -220,3 +221,36 @@ def test_last_answer_counts_by_id(spark):
     )
     got = positional_fallback_join(template, outputs, by="id").collect()
     assert [tuple(r) for r in got] == [(0, "T0", 5.0)]
+
+
+def test_no_task_compares_more_pairs_than_its_share(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "_shape", lambda df: (100_000, 64))
+    r, c = retrieval._grid_of(None, None, None, None)
+    assert -(-100_000 // r) * -(-100_000 // c) <= 1 << 31
+    monkeypatch.undo()
+    # One file is one split, whatever it holds: it is dealt over the cores all the same.
+    monkeypatch.setattr(retrieval, "TASK_PAIRS", 1_000)
+    vectors = np.random.default_rng(6).normal(size=(300, 4)).astype(np.float32)
+    stored = table(spark, vectors, "doc_id").coalesce(1)
+    dealt, tasks = retrieval._dealt(stored, 20, 4)
+    held = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) > 1 and max(r["count"] for r in held) < 300 and tasks >= len(held)
+    queries = vectors[:20] + np.float32(0.25)
+    assert rows(retrieval.knn_join(table(spark, queries, "id"), stored, 4)) == brute(queries, vectors, 4)
+
+
+def test_kernel_far_from_the_origin():
+    """Single precision cannot tell these distances apart; the result is exact all the same."""
+    rng = np.random.default_rng(7)
+    vectors = 1e6 + rng.normal(size=(700, 6))
+    nearest, bounded = Nearest(vectors[:30], 3), Bounded(vectors[:30], 3)
+    for start in range(0, 700, 90):
+        part = slice(start, start + 90)
+        ids = np.arange(700)[part]
+        nearest.add(vectors[part], ids)
+        bounded.add(vectors[part], np.zeros(len(ids)), ids, ids)
+    exact = ((vectors[:30, None] - vectors[None]) ** 2).sum(axis=2)
+    want = np.argsort(exact, axis=1, kind="stable")[:, :3]
+    assert nearest.ids.reshape(30, 3).tolist() == want.tolist()
+    row, ids, *_ = bounded.rows()
+    assert all(set(want[q]) <= set(ids[row == q]) for q in range(30))
