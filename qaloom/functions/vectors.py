@@ -150,6 +150,17 @@ class Nearest:
             start = some.stop
             self.seen += len(ids[some])
 
+    def add_for(self, some: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+        """Rows that only ``some`` of the queries, by their places, are to meet."""
+        if len(some) == 0 or len(vectors) == 0:
+            return
+        part = Nearest(self.queries[some], self.k)
+        part.limit = self.limit[some]
+        part.add(vectors, ids)
+        if self.best_ids is None:
+            self.best_ids = np.zeros((len(self.queries), self.k), ids.dtype)
+        self._merge(some[part.row], part.dist, part.ids)
+
     def _add(self, vectors: np.ndarray, ids: np.ndarray) -> None:
         norms = np.einsum("ij,ij->i", vectors, vectors)
         kind = self.products.kind(norms)

@@ -271,3 +271,26 @@ def test_distances_to_pivots_are_held_in_slices(spark, monkeypatch):
     queries = vectors[:15] + np.float32(0.25)
     got = retrieval.knn_join_pruned(table(spark, queries, "id"), table(spark, vectors, "doc_id"), 4, 9)
     assert rows(got) == brute(queries, vectors, 4)
+
+
+def test_pruned_search_writes_no_vector_for_every_cell_it_visits(spark, monkeypatch):
+    """Vectors without clusters: the bounds rule little out, and still every table is as long as the rows or the hits."""
+    sizes = {}
+    original = retrieval.written
+
+    def counted(df, name, path=None):
+        out = original(df, name, path)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(retrieval, "written", counted)
+    rng = np.random.default_rng(9)
+    passages = rng.normal(size=(600, 16)).astype(np.float32)
+    passages[::5] = passages[0]
+    passages[1::50] *= 4
+    queries = np.concatenate([passages[:40], rng.normal(size=(30, 16))]).astype(np.float32)
+    asked, stored = table(spark, queries, "id"), table(spark, passages, "doc_id").repartition(5)
+    for blocks in ((None, None), (20, 30)):
+        assert rows(retrieval.knn_join_pruned(asked, stored, 3, 40, *blocks)) == brute(queries, passages, 3)
+    assert max(sizes.values()) <= 600
+    assert retrieval.knn_join_pruned(asked.limit(0), stored, 3, 40).count() == 0
